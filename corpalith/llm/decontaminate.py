@@ -44,7 +44,8 @@ def shingle_texts(words: Column, k: int) -> Column:
 def item_sketches(items: DataFrame, item_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """(item_id, part, q, hash): the sketch of every item; part is the size partition."""
     picked = like(items, item_col, text_col).toDF("item_id", "text").where("item_id is not null").distinct()
-    sets = picked.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(tokens(F.coalesce("text", F.lit(""))), k))).alias("hs")).withColumn("q", F.size("hs")).where("q > 0")
+    split = picked.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    sets = split.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), k))).alias("hs")).withColumn("q", F.size("hs")).where("q > 0")
     kept = F.col("q") - F.ceil(F.col("q") * F.lit(threshold) - 1e-9) + 1
     return sets.select("item_id", F.floor(F.log2("q")).alias("part"), "q", F.explode(F.slice("hs", F.lit(1), kept.cast("int"))).alias("hash"))
 
@@ -65,10 +66,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     pairs = durable(probes.join(small(sketch.select("item_id", "hash"), held), "hash").select("doc_id", "item_id").distinct())
 
     texts = like(items, item_col, item_text).toDF("item_id", "item_text").where("item_id is not null").distinct()
-    texts = texts.select("item_id", shingle_texts(tokens(F.coalesce("item_text", F.lit(""))), k).alias("wanted"))
+    # The words are a column of their own: inside the shingles' lambda they would be split again for every shingle.
+    texts = texts.select("item_id", tokens(F.coalesce("item_text", F.lit(""))).alias("words")).select("item_id", shingle_texts(F.col("words"), k).alias("wanted"))
     found = pairs.select("doc_id").distinct()
     picked = picked.join(small(found.withColumnRenamed("doc_id", "hit_id"), found.count()), F.col("doc_id") == F.col("hit_id"), "left_semi")
-    have = picked.distinct().select("doc_id", shingle_texts(tokens(F.col("text")), k).alias("have"))
+    have = picked.distinct().select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", shingle_texts(F.col("words"), k).alias("have"))
     checked = have.join(pairs.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id") == F.col("hit_id")).drop("hit_id").join(small(texts, texts.count()), "item_id")
     checked = checked.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_shingles"), F.size(F.array_intersect("wanted", "have")).cast("long").alias("n_shared"))
     checked = checked.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
