@@ -6,9 +6,8 @@ lines that repeat an earlier line, or are near one, go; the earliest stays.
 
 Exact repeats are settled first by a hash. Emitting every deletion variant of every remaining
 line would cost as many rows as the corpus has words, so variants are made only for lines that
-can have a partner: with one edit, two lines whose shorter one has n words share their first
-n div 2 or their last n div 2 words. A line gives four such half keys (it may be the shorter or
-the longer one), and lines whose every half key is theirs alone drop out. This loses no pair.
+can have a partner: a single edit falls into one half of a line, so near lines agree on the
+other half, and lines that share no half drop out. This loses no pair.
 
 Variants are keyed so that a key alone nearly proves the distance, and only the least position
 of a key is needed, not its pairs:
@@ -26,30 +25,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import SPACES, durable, like
+from corpalith.llm.common import durable, like, small
 
 MIN_WORDS = 6
 
+#: White space inside a line.
+BLANKS = " \t\u000b\f\r"
+BLANK_RUN = r"[ \t\x0B\f\r]+"
+
 
 def _words(line: Column) -> Column:
-    """Words of a line, A-Z lower-cased; white space at the ends doesn't count."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.split(F.trim(F.translate(line, upper + SPACES, upper.lower() + "     ")), " +")
+    """Words of a line, lower-cased; white space at the ends doesn't count."""
+    return F.split(F.btrim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, th, line_no, words) of every line with at least ``min_words`` words.
+def _halves() -> Column:
+    """Keys of a line's two halves, as the shorter line (of m = n words) and as the longer one (m = n - 1).
 
-    ``th``, the hash of the text, tells rows with the same id and other texts apart.
+    One edit falls into one half of the shorter line, so two near lines agree on what lies outside
+    it; the second half is counted from the end.
     """
-    picked = like(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
-    rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.where(F.octet_length("line") >= 2 * min_words - 1)
-    return rows.select("id", "th", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-
-
-def _halves() -> Column:
-    """Half keys of a line, as the shorter (n) and as the longer one (n - 1)."""
     n = F.size("words")
     keys = []
     for less in (0, 1):
@@ -59,6 +54,12 @@ def _halves() -> Column:
     return F.array(*keys)
 
 
+def _with_partner(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed(h, key, ...)`` whose key is shared with another h."""
+    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("key").alias("shared"))
+    return keyed.join(shared, keyed.key == shared.shared, "left_semi")
+
+
 def _without(words: Column, j: Column) -> Column:
     """Hash of an array of words without the j-th: arrays hash element by element, so no copy is built."""
     return F.xxhash64(F.slice(words, F.lit(1), j - 1), F.slice(words, j + 1, F.size(words)))
@@ -74,41 +75,51 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
+def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, th, line_no, h, halves) of every line with at least ``min_words`` words.
+
+    ``th``, the hash of the text, tells rows with the same id and other texts apart.
+    """
+    picked = like(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
+    rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.where(F.octet_length("line") >= 2 * min_words - 1)
+    rows = rows.select("id", "th", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    return rows.select("id", "th", "line_no", F.xxhash64("words").alias("h"), _halves().alias("halves"))
+
+
+def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Documents joined to ``wanted(__id, __th, ...)``, which is broadcast if its counted size allows."""
+    same = (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
+    return docs.join(small(wanted, wanted.count()), same, how)
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, line_no, how) of the lines that repeat an earlier line: how is ``exact`` or ``near``.
 
     Earlier is by id, text hash and line number. Lines under ``min_words`` words, and lines of
     rows with a null id or text, take no part. Repeated rows (same id and text) are one document.
     """
-    lines = lines_of(docs, id_col, text_col, min_words)
-    hashed = lines.withColumn("h", F.xxhash64("words"))
+    hashed = durable(line_keys(docs, id_col, text_col, min_words))
     place = F.struct("id", "th", "line_no")
-    unique = durable(hashed.select("h", "id", "th", "line_no", _halves().alias("halves")).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("halves").alias("halves")))
-
-    keyed = unique.select("h", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("half").alias("shared"))
-    near_half = keyed.join(shared, keyed.half == shared.shared, "left_semi").select("h").distinct()
-    firsts = unique.join(near_half, "h", "left_semi").select(F.col("h").alias("ch"), "first", "first.*")
-    chosen = durable(
-        lines.join(firsts.toDF("ch", "first", "i", "t", "l"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l")))
-        .select(F.col("ch").alias("h"), "first", "words")
-        .dropDuplicates(["h"])
-    )
-
+    unique = durable(hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("halves").alias("halves")))
+
+    partnered = _with_partner(unique.select("h", F.explode("halves").alias("key"))).select(F.col("h").alias("ph")).distinct()
+    firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
+    wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
+    texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
+    texts = texts.select(F.split(f"`{text_col}`", "\n").alias("ls"), F.explode("__lines").alias("x"))
+    chosen = durable(texts.select("x.h", "x.first", _words(F.element_at("ls", F.col("x.line_no") + 1)).alias("words")).dropDuplicates(["h"]))
     n = F.size("words")
-    variants = chosen.select("h", "first", n.alias("n"), F.posexplode(F.concat(F.array(F.col("h")), F.transform(F.sequence(F.lit(1), n), lambda j: _without(F.col("words"), j)))).alias("j", "key"))
-    replaced = variants.where("j > 0").select("h", "first", F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
-    shorter = variants.where("j = 0").select("h", "first", F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
-    longer = variants.where("j > 0").select("h", "first", F.xxhash64("key", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(2).alias("side"))
-    emitted = replaced.union(shorter).union(longer)
-    least = emitted.groupBy("key").agg(
-        F.min(F.when(F.col("side") == 0, F.struct("first", "h"))).alias("m0"),
-        F.min(F.when(F.col("side") == 1, F.struct("first", "h"))).alias("m1"),
-        F.min(F.when(F.col("side") == 2, F.struct("first", "h"))).alias("m2"),
-        F.count_distinct("h").alias("held"),
-    ).where("held > 1").drop("held").withColumnRenamed("key", "k")
+    variants = chosen.select("h", n.alias("n"), F.posexplode(F.concat(F.array(F.col("h")), F.transform(F.sequence(F.lit(1), n), lambda j: _without(F.col("words"), j)))).alias("j", "key"))
+    replaced = F.struct(F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
+    shorter = F.struct(F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
+    longer = F.struct(F.xxhash64("key", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(2).alias("side"))
+    emitted = variants.select("h", F.inline(F.when(F.col("j") > 0, F.array(replaced, longer)).otherwise(F.array(shorter))))
+    met = _with_partner(emitted).join(chosen.select(F.col("h").alias("fh"), "first"), F.col("h") == F.col("fh")).select("h", "first", "key", "side")
+    earliest = [F.min(F.when(F.col("side") == side, F.struct("first", "h"))).alias(f"m{side}") for side in range(3)]
+    least = met.groupBy("key").agg(*earliest).withColumnRenamed("key", "k")
     other = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = emitted.join(least, emitted.key == least.k).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
+    pairs = met.join(least, met.key == least.k).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
     texts = chosen.select("h", "words")
     near = (
         pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords"))).select(F.col("h").alias("nh")).distinct()
@@ -125,9 +136,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every input row and column comes out; null texts, empty texts and rows with null ids are
     unchanged. A document that only repeats others is left with an empty text.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("gone")).toDF("__id", "__th", "__gone")
+    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("gone"))
     text = F.col(f"`{text_col}`")
-    joined = docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
+    joined = _matching(docs, durable(gone.toDF("__id", "__th", "__gone")), id_col, text_col, "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("n_lines_dropped"))

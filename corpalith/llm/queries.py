@@ -115,7 +115,7 @@ GROUP BY d.id, b.id HAVING count(*) >= ceil(any_value(n_shingles) * 0.8 - 1e-9)
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
 worded AS (
-  SELECT doc_id, line_no, regexp_split_to_array(trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz    ')), ' +') AS w FROM every),
+  SELECT doc_id, line_no, regexp_split_to_array(trim(lower(line), ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \t\x0B\f\r]+') AS w FROM every),
 lines AS (SELECT doc_id, line_no, w, len(w) AS n FROM worded WHERE len(w) >= 6),
 firsts AS (SELECT w, any_value(n) AS n, min({'d': doc_id, 'l': line_no}) AS f FROM lines GROUP BY w),
 halves AS (
