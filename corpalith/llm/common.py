@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,17 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """An equi-join whose hot keys AQE can split.
+
+    AQE splits a large partition only if both sides were shuffled for the join itself. A side
+    that was aggregated by the same key keeps that partitioning instead; with a hash of the keys
+    as one more key both sides are shuffled for the join. Column names of the sides must differ.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in pairs])
+    return left.join(right, same & (F.xxhash64(*(a for a, _ in pairs)) == F.xxhash64(*(b for _, b in pairs))), how)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo ``modulus``: the hold-out key (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -44,16 +56,9 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def squeezed(column: Column) -> Column:
-    """Text with each run of white space turned into one space, and trimmed."""
-    return F.trim(F.regexp_replace(F.translate(column, SPACES, "     "), " {2,}", " "))
-
-
 def word_count(column: Column) -> Column:
-    """Number of words; 0 for null. Counts separators, so no array of words is built."""
-    text = squeezed(F.coalesce(column, F.lit("")))
-    gaps = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+    """Number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, list[bytes]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable
+from corpalith.llm.common import durable, hot_join
 
 
 def _arcs(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     arcs = _arcs(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    joined = arcs.join(least, arcs.u == least.c)
+    joined = hot_join(arcs, least, [("u", "c")])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

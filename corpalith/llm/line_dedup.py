@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, like, small
+from corpalith.llm.common import durable, hot_join, like, small
 
 MIN_WORDS = 6
 
@@ -34,30 +34,42 @@ BLANKS = " \t\u000b\f\r"
 BLANK_RUN = r"[ \t\x0B\f\r]+"
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, lower-cased; white space at the ends doesn't count."""
-    return F.split(F.btrim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
+def _normal(line: Column) -> Column:
+    """A line lower-cased and trimmed, with one space between words."""
+    text = F.btrim(F.lower(line), F.lit(BLANKS))
+    rough = F.contains(text, F.lit("  "))
+    for blank in BLANKS[1:]:
+        rough = rough | F.contains(text, F.lit(blank))
+    return F.when(rough, F.regexp_replace(text, BLANK_RUN, " ")).otherwise(text)
 
 
-def _halves() -> Column:
-    """Keys of a line's two halves, as the shorter line (of m = n words) and as the longer one (m = n - 1).
+def _half(words: Column) -> Column:
+    """How many words a half of ``words`` words has: at most half of them, in steps of four for
+    longer lines, so that lines of n and n - 1 words mostly have the same."""
+    return F.when(words < 8, F.floor(words / 2)).otherwise(4 * F.floor(words / 8)).cast("int")
+
+
+def _halves(rows: DataFrame) -> DataFrame:
+    """``rows(..., words)`` with ``halves``: keys of a line's two halves, as the shorter line (of
+    m = n words) and as the longer one (m = n - 1).
 
     One edit falls into one half of the shorter line, so two near lines agree on what lies outside
     it; the second half is counted from the end.
     """
     n = F.size("words")
-    keys = []
-    for less in (0, 1):
-        half = F.floor((n - less) / 2).cast("int")
-        keys.append(F.xxhash64(F.lit(0), n - less, F.slice("words", F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit(1), n - less, F.slice("words", n - half + 1, half)))
-    return F.array(*keys)
+    sized = rows.withColumns({"n": n, "p": _half(n), "q": _half(n - 1)})
+    left, right = (lambda k: F.xxhash64(F.slice("words", F.lit(1), k))), (lambda k: F.xxhash64(F.slice("words", F.col("n") - k + 1, k)))
+    first = sized.withColumns({"lp": left(F.col("p")), "rp": right(F.col("p"))})
+    same = F.col("p") == F.col("q")
+    both = first.withColumns({"lq": F.when(same, F.col("lp")).otherwise(left(F.col("q"))), "rq": F.when(same, F.col("rp")).otherwise(right(F.col("q")))})
+    keys = F.array(*(F.xxhash64(F.lit(side), F.col("n") - less, F.col(name)) for side, less, name in ((0, 0, "lp"), (1, 0, "rp"), (0, 1, "lq"), (1, 1, "rq"))))
+    return both.withColumn("halves", keys).drop("n", "p", "q", "lp", "rp", "lq", "rq")
 
 
 def _with_partner(keyed: DataFrame) -> DataFrame:
     """The rows of ``keyed(h, key, ...)`` whose key is shared with another h."""
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("key").alias("shared"))
-    return keyed.join(shared, keyed.key == shared.shared, "left_semi")
+    return hot_join(keyed, shared, [("key", "shared")], "left_semi")
 
 
 def _without(words: Column, j: Column) -> Column:
@@ -82,9 +94,9 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     """
     picked = like(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.where(F.octet_length("line") >= 2 * min_words - 1)
-    rows = rows.select("id", "th", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    return rows.select("id", "th", "line_no", F.xxhash64("words").alias("h"), _halves().alias("halves"))
+    rows = rows.where(F.octet_length("line") >= 2 * min_words - 1).select("id", "th", "line_no", _normal(F.col("line")).alias("text"))
+    rows = rows.select("id", "th", "line_no", F.xxhash64("text").alias("h"), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
+    return _halves(rows).drop("words")
 
 
 def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -108,9 +120,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
     texts = texts.select(F.split(f"`{text_col}`", "\n").alias("ls"), F.explode("__lines").alias("x"))
-    chosen = durable(texts.select("x.h", "x.first", _words(F.element_at("ls", F.col("x.line_no") + 1)).alias("words")).dropDuplicates(["h"]))
+    chosen = durable(texts.select("x.h", "x.first", F.split(_normal(F.element_at("ls", F.col("x.line_no") + 1)), " ").alias("words")).dropDuplicates(["h"]))
     n = F.size("words")
-    variants = chosen.select("h", n.alias("n"), F.posexplode(F.concat(F.array(F.col("h")), F.transform(F.sequence(F.lit(1), n), lambda j: _without(F.col("words"), j)))).alias("j", "key"))
+    keys = F.concat(F.array(F.xxhash64("words")), F.transform(F.sequence(F.lit(1), n), lambda j: _without(F.col("words"), j)))
+    variants = durable(chosen.select("h", n.alias("n"), F.posexplode(keys).alias("j", "key")))
     replaced = F.struct(F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
     shorter = F.struct(F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
     longer = F.struct(F.xxhash64("key", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(2).alias("side"))
@@ -119,14 +132,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earliest = [F.min(F.when(F.col("side") == side, F.struct("first", "h"))).alias(f"m{side}") for side in range(3)]
     least = met.groupBy("key").agg(*earliest).withColumnRenamed("key", "k")
     other = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = met.join(least, met.key == least.k).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
+    pairs = hot_join(met, least, [("key", "k")]).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
     texts = chosen.select("h", "words")
     near = (
         pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords"))).select(F.col("h").alias("nh")).distinct()
     )
 
     flagged = unique.join(near, unique.h == near.nh, "left").where("nh is not null or first < last").select(F.col("h").alias("rh"), "first", F.col("nh").isNotNull().alias("near"))
-    out = hashed.select("h", place.alias("place"), "id", "th", "line_no").join(flagged, F.col("h") == F.col("rh"))
+    out = hot_join(hashed.select("h", place.alias("place"), "id", "th", "line_no"), flagged, [("h", "rh")])
     return out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how"))
 
 

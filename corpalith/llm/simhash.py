@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, like, slices
+from corpalith.llm.common import durable, hot_join, like, slices
 from corpalith.llm.components import components
 
 RADIUS = 4
@@ -158,7 +158,7 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS, tile: int = 1024) -> Da
     chosen = masks(bands_for(n, radius), radius)
     keyed = reps.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("k", "v"))
     full = keyed.groupBy("k", "v").agg(F.count("*").alias("held")).where("held > 1").select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.ceil(F.col("held") / tile).cast("int").alias("tiles"))
-    dealt = keyed.join(full, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")))
+    dealt = hot_join(keyed, full, [("k", "k2"), ("v", "v2")])
     own = F.pmod(F.xxhash64("fp", "k"), F.col("tiles")).cast("int")
     dealt = dealt.withColumn("own", own).select("k", "v", "fp", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     cells = dealt.select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "rep")
@@ -179,6 +179,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = durable(made.groupBy("fp").agg(F.min("id").cast("long").alias("rep")).where("rep is not null"))
     found = components(links(reps, reps.count(), radius))
     roots = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
-    return made.join(roots, made.fp == roots.f, "left").select(
+    return hot_join(made, roots, [("fp", "f")], "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
