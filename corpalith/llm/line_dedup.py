@@ -34,36 +34,35 @@ BLANKS = " \t\u000b\f\r"
 BLANK_RUN = r"[ \t\x0B\f\r]+"
 
 
-def _normal(line: Column) -> Column:
-    """A line lower-cased and trimmed, with one space between words."""
-    text = F.btrim(F.lower(line), F.lit(BLANKS))
+def _squeezed(text: Column) -> Column:
+    """A trimmed line with one space between words."""
     rough = F.contains(text, F.lit("  "))
     for blank in BLANKS[1:]:
         rough = rough | F.contains(text, F.lit(blank))
     return F.when(rough, F.regexp_replace(text, BLANK_RUN, " ")).otherwise(text)
 
 
-def _half(words: Column) -> Column:
-    """How many words a half of ``words`` words has: at most half of them, in steps of four for
-    longer lines, so that lines of n and n - 1 words mostly have the same."""
-    return F.when(words < 8, F.floor(words / 2)).otherwise(4 * F.floor(words / 8)).cast("int")
+def _normal(rows: DataFrame, line: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``text``: the line lower-cased and trimmed, with one space between words.
+
+    In two projections, as each part is used more than once.
+    """
+    return rows.select(*keep, F.btrim(F.lower(line), F.lit(BLANKS)).alias("text")).select(*keep, _squeezed(F.col("text")).alias("text"))
 
 
-def _halves(rows: DataFrame) -> DataFrame:
-    """``rows(..., words)`` with ``halves``: keys of a line's two halves, as the shorter line (of
-    m = n words) and as the longer one (m = n - 1).
+def _halves(words: Column, n: Column) -> Column:
+    """Keys of a line's two halves, as the shorter line (of m = n words) and as the longer one (m = n - 1).
 
-    One edit falls into one half of the shorter line, so two near lines agree on what lies outside
-    it; the second half is counted from the end.
+    One edit falls into one half of the shorter line, so two near lines agree on its first m div 2
+    words or on its last ones.
     """
-    n = F.size("words")
-    sized = rows.withColumns({"n": n, "p": _half(n), "q": _half(n - 1)})
-    left, right = (lambda k: F.xxhash64(F.slice("words", F.lit(1), k))), (lambda k: F.xxhash64(F.slice("words", F.col("n") - k + 1, k)))
-    first = sized.withColumns({"lp": left(F.col("p")), "rp": right(F.col("p"))})
-    same = F.col("p") == F.col("q")
-    both = first.withColumns({"lq": F.when(same, F.col("lp")).otherwise(left(F.col("q"))), "rq": F.when(same, F.col("rp")).otherwise(right(F.col("q")))})
-    keys = F.array(*(F.xxhash64(F.lit(side), F.col("n") - less, F.col(name)) for side, less, name in ((0, 0, "lp"), (1, 0, "rp"), (0, 1, "lq"), (1, 1, "rq"))))
-    return both.withColumn("halves", keys).drop("n", "p", "q", "lp", "rp", "lq", "rq")
+
+    def key(side: int, m: Column) -> Column:
+        half = F.floor(m / 2).cast("int")
+        ends = F.slice(words, F.lit(1), half) if side == 0 else F.slice(words, n - half + 1, half)
+        return F.xxhash64(F.lit(side), m, ends)
+
+    return F.array(*(key(side, n - less) for less in (0, 1) for side in (0, 1)))
 
 
 def _with_partner(keyed: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def _with_partner(keyed: DataFrame) -> DataFrame:
 
 
 def _without(words: Column, j: Column) -> Column:
-    """Hash of an array of words without the j-th: arrays hash element by element, so no copy is built."""
+    """Hash of an array without its j-th element: arrays hash element by element, so the rest need not be joined."""
     return F.xxhash64(F.slice(words, F.lit(1), j - 1), F.slice(words, j + 1, F.size(words)))
 
 
@@ -94,9 +93,11 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     """
     picked = like(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.where(F.octet_length("line") >= 2 * min_words - 1).select("id", "th", "line_no", _normal(F.col("line")).alias("text"))
-    rows = rows.select("id", "th", "line_no", F.xxhash64("text").alias("h"), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
-    return _halves(rows).drop("words")
+    rows = _normal(rows.where(F.octet_length("line") >= 2 * min_words - 1), F.col("line"), "id", "th", "line_no")
+    rows = rows.select("id", "th", "line_no", "text", F.split("text", " ").alias("words"))
+    keys = F.struct(F.xxhash64("text").alias("h"), _halves(F.col("words"), F.size("words")).alias("halves"))
+    # Short lines give no row here: a filter on the number of words would be pushed down and redo the text.
+    return rows.select("id", "th", "line_no", F.inline(F.when(F.size("words") >= min_words, F.array(keys))))
 
 
 def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -120,10 +121,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
     texts = texts.select(F.split(f"`{text_col}`", "\n").alias("ls"), F.explode("__lines").alias("x"))
-    chosen = durable(texts.select("x.h", "x.first", F.split(_normal(F.element_at("ls", F.col("x.line_no") + 1)), " ").alias("words")).dropDuplicates(["h"]))
+    texts = texts.select("x.h", "x.first", F.element_at("ls", F.col("x.line_no") + 1).alias("line"))
+    chosen = durable(_normal(texts, F.col("line"), "h", "first").select("h", "first", F.split("text", " ").alias("words")).dropDuplicates(["h"]))
     n = F.size("words")
-    keys = F.concat(F.array(F.xxhash64("words")), F.transform(F.sequence(F.lit(1), n), lambda j: _without(F.col("words"), j)))
-    variants = durable(chosen.select("h", n.alias("n"), F.posexplode(keys).alias("j", "key")))
+    hashes = chosen.select("h", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("ws"))
+    keys = F.concat(F.array(F.xxhash64("ws")), F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: _without(F.col("ws"), j)))
+    variants = durable(hashes.select("h", "n", F.posexplode(keys).alias("j", "key")))
     replaced = F.struct(F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
     shorter = F.struct(F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
     longer = F.struct(F.xxhash64("key", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(2).alias("side"))
