@@ -50,7 +50,7 @@ def _normal(rows: DataFrame, line: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.btrim(F.lower(line), F.lit(BLANKS)).alias("text")).select(*keep, _squeezed(F.col("text")).alias("text"))
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _halves(words: Column, n: Column) -> list[Column]:
     """Keys of a line's two halves, as the shorter line (of m = n words) and as the longer one (m = n - 1).
 
     One edit falls into one half of the shorter line, so two near lines agree on its first m div 2
@@ -62,7 +62,7 @@ def _halves(words: Column, n: Column) -> Column:
         ends = F.slice(words, F.lit(1), half) if side == 0 else F.slice(words, n - half + 1, half)
         return F.xxhash64(F.lit(side), m, ends)
 
-    return F.array(*(key(side, n - less) for less in (0, 1) for side in (0, 1)))
+    return [key(side, n - less).alias(f"half{2 * less + side}") for less in (0, 1) for side in (0, 1)]
 
 
 def _with_partner(keyed: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, th, line_no, h, halves) of every line with at least ``min_words`` words.
+    """(id, th, line_no, h, half0 .. half3) of every line with at least ``min_words`` words.
 
     ``th``, the hash of the text, tells rows with the same id and other texts apart.
     """
@@ -95,7 +95,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = _normal(rows.where(F.octet_length("line") >= 2 * min_words - 1), F.col("line"), "id", "th", "line_no")
     rows = rows.select("id", "th", "line_no", "text", F.split("text", " ").alias("words"))
-    keys = F.struct(F.xxhash64("text").alias("h"), _halves(F.col("words"), F.size("words")).alias("halves"))
+    keys = F.struct(F.xxhash64("text").alias("h"), *_halves(F.col("words"), F.size("words")))
     # Short lines give no row here: a filter on the number of words would be pushed down and redo the text.
     return rows.select("id", "th", "line_no", F.inline(F.when(F.size("words") >= min_words, F.array(keys))))
 
@@ -114,9 +114,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     hashed = durable(line_keys(docs, id_col, text_col, min_words))
     place = F.struct("id", "th", "line_no")
-    unique = durable(hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("halves").alias("halves")))
+    halves = [f"half{i}" for i in range(4)]
+    grouped = hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in halves))
+    unique = durable(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
 
-    partnered = _with_partner(unique.select("h", F.explode("halves").alias("key"))).select(F.col("h").alias("ph")).distinct()
+    partnered = _with_partner(unique.select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
     firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
     wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
@@ -141,7 +143,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords"))).select(F.col("h").alias("nh")).distinct()
     )
 
-    flagged = unique.join(near, unique.h == near.nh, "left").where("nh is not null or first < last").select(F.col("h").alias("rh"), "first", F.col("nh").isNotNull().alias("near"))
+    flagged = unique.join(near, unique.h == near.nh, "left").where("nh is not null or repeated").select(F.col("h").alias("rh"), "first", F.col("nh").isNotNull().alias("near"))
     out = hot_join(hashed.select("h", place.alias("place"), "id", "th", "line_no"), flagged, [("h", "rh")])
     return out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how"))
 
