@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpalith.plans import queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "s2_sources"
-
-
-def _count_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count().withColumnRenamed("count", "n_documents")
-
-
-QUERIES["s2_sources"] = _count_sources
-ORACLE_SQL["s2_sources"] = "SELECT source, count(*) AS n_documents FROM documents GROUP BY source"
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.SQL
+FLAGSHIP = "a2_scope_diff"
