@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but space and the ASCII controls 9 to 13.
@@ -17,19 +18,30 @@ SPACES = "\t\n\u000b\f\r"
 BROADCAST_ROWS = 500_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder.
-
-    The folder is ``spark.checkpoint.dir``; only where the session has none (tests, local
-    mode) a temporary folder is used.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where none is set (tests, local mode)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpalith"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: for large tables, as it is compressed and read by column.
+
+    Like checkpoints, tables stay until the folder is cleaned.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if ``rows``, its counted size, is within the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, hot_join, like, small
+from corpalith.llm.common import durable, hot_join, like, small, stored
 
 MIN_WORDS = 6
 
@@ -112,11 +112,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Earlier is by id, text hash and line number. Lines under ``min_words`` words, and lines of
     rows with a null id or text, take no part. Repeated rows (same id and text) are one document.
     """
-    hashed = durable(line_keys(docs, id_col, text_col, min_words))
+    hashed = stored(line_keys(docs, id_col, text_col, min_words))
     place = F.struct("id", "th", "line_no")
     halves = [f"half{i}" for i in range(4)]
     grouped = hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in halves))
-    unique = durable(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
+    unique = stored(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
 
     partnered = _with_partner(unique.select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
     firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
@@ -128,7 +128,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.size("words")
     hashes = chosen.select("h", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("ws"))
     keys = F.concat(F.array(F.xxhash64("ws")), F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: _without(F.col("ws"), j)))
-    variants = durable(hashes.select("h", "n", F.posexplode(keys).alias("j", "key")))
+    variants = stored(hashes.select("h", "n", F.posexplode(keys).alias("j", "key")))
     replaced = F.struct(F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
     shorter = F.struct(F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
     longer = F.struct(F.xxhash64("key", F.col("n") - 1, F.lit(-1)).alias("key"), F.lit(2).alias("side"))
