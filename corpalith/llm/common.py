@@ -33,12 +33,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: for large tables, as it is compressed and read by column.
+    """Cut the lineage with a Parquet table in the shared folder: for large tables, as values that repeat take little room there.
 
-    Like checkpoints, tables stay until the folder is cleaned.
+    Left to its encodings, without a codec, whose native buffers would add to an executor's memory. Like checkpoints, tables stay until the folder is cleaned.
     """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

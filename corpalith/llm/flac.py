@@ -103,7 +103,7 @@ def _predictors(x: np.ndarray) -> np.ndarray:
 
 def encode_frames(blocks: list[tuple[int, bytes]]) -> list[bytes]:
     """The frames of (frame number, payload bytes); each payload is 1 to ``BLOCK`` long."""
-    rows, width = len(blocks), max(len(b) for _, b in blocks)
+    rows, width = len(blocks), max(ORDER + 1, *(len(b) for _, b in blocks))
     n = np.array([len(b) for _, b in blocks])
     raw = np.frombuffer(b"".join(b.ljust(width, b"\x80") for _, b in blocks), np.uint8).reshape(rows, width)
     x = raw.astype(np.int32) - 128
@@ -339,7 +339,7 @@ def decode_frames(buf: np.ndarray, body: np.ndarray, samples: np.ndarray, bps: n
         x[top : top + n[f], f] = x[top, f]
     coefs, shift = np.zeros((top, rows), np.int64), np.zeros(rows, np.int64)
     for o, fixed in FIXED.items():
-        if o:
+        if o and (kind == 8 + o).any():
             coefs[:o, kind == 8 + o] = np.array(fixed)[:, None]
     linear = np.flatnonzero(kind >= 32)
     if len(linear):
