@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\u000b\f\r"
 
 #: Largest table, in rows, that is broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def _shared_folder(spark: SparkSession) -> str:
