@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpalith.functions import text as T
 from corpalith.functions import urls as U
 from corpalith.operators import access, changes, chunking, mapping, ranking, scope
+from corpalith.operators import collections as CO
+from corpalith.operators import evidence as EV
 from corpalith.sources.corpus import AS_OF, CATALOGUE_SQL, catalogue, table
 from corpalith.streaming import events as E
 
@@ -435,3 +437,65 @@ def plain_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
     revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return rows.agg(F.expr(f"date '{AS_OF[:10]}'").alias("as_of"), F.sum("l_quantity").cast("double").alias("quantity"), F.round(revenue, 2).cast("double").alias("revenue"), F.count("*").alias("n"))
+
+
+# Evidence and collections
+
+
+@query(f"WITH {CATALOGUE_SQL} SELECT doc_id, CASE WHEN doc_type IS NOT NULL THEN doc_type WHEN len(regexp_extract_all(text, '(?im)^\\s*(status|context|decision|consequences)\\s*:')) >= 3 THEN 'decision' ELSE 'page' END AS doc_type, CASE WHEN doc_type IS NOT NULL THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM catalogue")
+def x1_document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir).select("doc_id", EV.classify(F.col("doc_type"), F.col("title"), F.col("text")).alias("c")).select("doc_id", "c.doc_type", "c.confidence")
+
+
+@query()
+def x19_extracted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.extract_sentences(_pairs(spark, sf_dir).where("rank <= 5").withColumnRenamed("rank", "marker"))
+
+
+@query()
+def c1_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables state no quantities, so each document gets a sentence that does."""
+    stated = F.concat("text", F.lit(" The notice period for ending a contract is "), (F.col("doc_id") % 3 + 5).cast("string"), F.lit(" days before the end. The overdraft fee is $"), (F.col("doc_id") % 2 * 20 + 15).cast("string"), F.lit("."))
+    docs = _catalogue(spark, sf_dir).select("doc_id", F.get(F.filter("labels", lambda x: x.startswith("state-")), F.lit(0)).alias("scope"), stated.alias("passage"))
+    top = _lexical(spark, sf_dir).where("rank <= 12").select("question_id", F.col("doc_id").alias("hit"))
+    return EV.conflicts(EV.claims(top.join(docs, F.col("hit") == F.col("doc_id"))))
+
+
+@query(f"""WITH {CATALOGUE_SQL}, chosen AS (
+  SELECT doc_id, list_filter([CASE WHEN space = 'src1' THEN 'space' END, CASE WHEN list_contains(labels, 'approved') THEN 'approved' END], lambda x: x IS NOT NULL) AS by_rule, kb = 'fr' AS excluded FROM catalogue),
+old AS (SELECT doc_id AS old_id, CASE doc_id % 10 WHEN 0 THEN 'in' WHEN 1 THEN 'out' END AS pin FROM documents WHERE source IN ('src1', 'src2')),
+both_sides AS (SELECT coalesce(doc_id, old_id) AS doc_id, coalesce(by_rule, []) AS contributed_by, old_id IS NOT NULL AS was, CASE pin WHEN 'in' THEN true WHEN 'out' THEN false ELSE coalesce(len(by_rule) > 0 AND NOT excluded, false) END AS now
+  FROM (SELECT * FROM chosen WHERE len(by_rule) > 0 OR excluded) FULL JOIN old ON doc_id = old_id)
+SELECT doc_id, contributed_by, CASE WHEN was AND now THEN 'kept' WHEN was THEN 'removed' ELSE 'added' END AS change FROM both_sides WHERE was OR now""")
+def a23_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _catalogue(spark, sf_dir)
+    existing = docs.where("space in ('src1', 'src2')").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "in").when(F.col("doc_id") % 10 == 1, "out").alias("pin"))
+    include = {"space": F.col("space") == "src1", "approved": F.array_contains("labels", "approved")}
+    return CO.materialise(docs, include, {"french": F.col("kb") == "fr"}, existing)
+
+
+@query(f"WITH {CATALOGUE_SQL}, parents AS (SELECT DISTINCT '/' || space AS parent FROM catalogue UNION SELECT DISTINCT '/' || space || '/' || kb FROM catalogue WHERE kb = 'de') SELECT parent, doc_id FROM catalogue JOIN parents ON starts_with(path, parent || '/')")
+def j18_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _catalogue(spark, sf_dir)
+    parents = docs.select(F.concat(F.lit("/"), "space").alias("path")).union(docs.where("kb = 'de'").select(F.concat(F.lit("/"), "space", F.lit("/"), "kb")))
+    return CO.descendants(docs, parents)
+
+
+@query()
+def x13_resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.normalise(F.col("url")).alias("normal"))
+    keys = pages.select(F.col("url").alias("key")).distinct()
+    own = pages.select(F.col("url").alias("key"), "normal")
+    rungs = {
+        "exact": pages.where("page_id % 3 = 0").select(F.col("url").alias("key"), F.col("page_id").alias("doc_id")),
+        "alias": own.join(pages.where("page_id % 3 <> 2").select("normal", F.col("page_id").alias("doc_id")), "normal").select("key", "doc_id"),
+        "path": own.select("key", F.substring_index("normal", "?", 1).alias("p")).join(pages.where("page_id % 2 = 0").select(F.substring_index("normal", "?", 1).alias("p"), F.col("page_id").alias("doc_id")), "p").select("key", "doc_id"),
+    }
+    return CO.resolve(keys, rungs)
+
+
+@query()
+def x24_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), (~T.declines(F.col("text"))).alias("grounded"), F.array(F.substring_index("text", " ", 2)).alias("cited"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in (("answers", ""), ("refuses", ""), ("cites_something", ""), ("says", "the"), ("does_not_say", "idiot"), ("cites_first", "the"))))
+    return EV.check(turns.select("*", F.inline(wanted))).select("conv_id", "turn", "kind", "failure")

@@ -11,6 +11,8 @@ from corpalith import catalogue
 from corpalith.functions import text as T
 from corpalith.functions import urls as U
 from corpalith.operators import access, changes, chunking, mapping, ranking, scope
+from corpalith.operators import collections as CO
+from corpalith.operators import evidence as EV
 from corpalith.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +164,24 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     want = E.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()
     assert sorted(map(repr, spark.table("tumbling").collect())) == sorted(map(repr, want))
+
+
+def test_evidence(spark):
+    kinds = spark.createDataFrame([(None, "Refund Policy", ""), (None, "x", "You must. It shall. They should."), ("faq", "Refund Policy", ""), (None, "x", "must")], "m string, t string, b string")
+    got = [r[0].asDict() for r in kinds.select(EV.classify(F.col("m"), F.col("t"), F.col("b"))).collect()]
+    assert [(g["doc_type"], g["confidence"]) for g in got] == [("policy", 0.85), ("specification", 0.65), ("faq", 1.0), ("page", 0.3)]
+    assert [c[:3] for c in EV.claims_of("An overdraft fee of $35 is assessed. Give 10 days past due notice by 15 April 2024. Last updated 3 years ago.")] == [("currency", "currency overdraft fee", "35"), ("days", "days past due", "10")]
+    text = "The notice period for ending a contract is {} days before the end of term"
+    rows = [(1, 1, None, text.format(5)), (1, 2, None, text.format(7)), (1, 3, "state-a", text.format(5)), (1, 4, "state-b", text.format(7)), (2, 5, None, text.format(9))]
+    found = EV.conflicts(EV.claims(spark.createDataFrame(rows, "question_id long, doc_id long, scope string, passage string")))
+    assert sorted((r.doc_a, r.doc_b) for r in found.collect()) == [(1, 2), (1, 4), (2, 3)]
+    cases = [("answers", "", "a", True), ("refuses", "", "a", True), ("says", "B  c", "x b C.", True), ("does_not_say", "b", "b", True), ("cites", "Doc", "a", False), ("cites_first", "two", "a", True), ("odd", "", "", True)]
+    df = spark.createDataFrame([(i, *c, ["my doc", "two"]) for i, c in enumerate(cases)], "case_id int, kind string, value string, answer string, grounded boolean, cited array<string>")
+    assert [r.failure for r in EV.check(df).orderBy("case_id").collect()] == [None, "answered", None, "said", None, "not first", "unknown expectation"]
+
+
+def test_url_ladder(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "key string, doc_id long")
+    keys = spark.createDataFrame([(k,) for k in "abcd"], "key string")
+    got = {r.key: (r.doc_id, r.rung, r.outcome) for r in CO.resolve(keys, {"exact": frame([("a", 1), ("b", 1), ("b", 2)]), "title": frame([("a", 9), ("c", 3)])}).collect()}
+    assert got == {"a": (1, "exact", "accepted"), "b": (None, "exact", "ambiguous"), "c": (None, "title", "ambiguous"), "d": (None, None, "unresolved")}
