@@ -31,6 +31,9 @@ HINTS = frozenset(
     "share sharing social related recommended widget toolbar pagination pager search login copyright contentinfo complementary form".split()
 )
 
+#: Of those the ones that mark what readers wrote.
+READERS = frozenset("comment comments discussion disqus respond reply replies".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -57,7 +60,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     block becomes one space. Markup that is never closed ends with the page.
     """
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # element, 2 for furniture by its tag or readers' comments, 1 by another hint; main
     buffer: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -65,7 +68,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         nonlocal linked
         words = "".join(buffer).split()
         if words:
-            out.append((" ".join(words), len(words), min(linked, len(words)), any(x[1] for x in stack), any(x[2] for x in stack)))
+            main = max((i for i, x in enumerate(stack) if x[2]), default=-1)
+            chrome = any(x[1] == 2 or x[1] and i > main for i, x in enumerate(stack))  # a hint on what holds the article doesn't count
+            out.append((" ".join(words), len(words), min(linked, len(words)), chrome, main >= 0))
         buffer.clear()
         linked = 0
 
@@ -109,11 +114,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             buffer.append(" ")
         elif name in BLOCKS:
             flush()
-            hint = any(HINTS & set(_WORD.findall("".join(m).lower())) for m in _NAMED.findall(attributes)) if attributes else False
-            if (name in CHROME or name in MAIN or name in HOLDERS or hint) and not attributes.endswith("/"):
+            named = {w for m in _NAMED.findall(attributes) for w in _WORD.findall("".join(m).lower())} if attributes else set()
+            kind = 2 if name in CHROME or (named & READERS and name not in ("body", "html")) else int(bool(named & HINTS) and name not in MAIN and name not in ("body", "html"))
+            if (name in MAIN or name in HOLDERS or kind) and not attributes.endswith("/"):
                 if name == "p":  # a paragraph ends where the next begins
                     stack[:] = [x for x in stack if x[0] != "p"]
-                stack.append((name, name in CHROME or (hint and name != "body" and name not in MAIN), name in MAIN))
+                stack.append((name, kind, name in MAIN and not named & READERS))
             elif name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
     flush()

@@ -137,6 +137,8 @@ def test_main_text():
       three&nbsp;four<p>To.<aside>Aside</aside><ul><li>Item</li><li><a href='y>z'>Linked</a></li></ul><script>var t="</p>";</script><p>&lt;p&gt; last<form>name <input></form></article>
     <section id=comments><p>First!</p></section><footer>Foot</footer></body></html>"""
     assert html_text.main_text(page) == "Head & more\nOne two three four\nTo.\nItem\nLinked\n<p> last"
+    held = "<div class='page has-sidebar'><main><p>Kept</p><div class=share>Share</div></main><div id=comments><article class=comment-body><p>Mine</p></article></div></div>"
+    assert html_text.main_text(held) == "Kept"
     assert html_text.main_text("") == "" and html_text.main_text("<p>unclosed <b>text") == "unclosed text"
     assert html_text.main_text("<div><p>" + "plain words of a page " * 9 + "</p></div><div class=menu><a>x</a></div>").startswith("plain words")
 
