@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpalith.plans import queries
+from corpalith.plans import answers, queries, reports, writes  # noqa: F401  (each registers its queries)
 
 QUERIES = queries.QUERIES
 ORACLE_SQL = queries.SQL
