@@ -54,7 +54,7 @@ def supported(answer: Column, sources: Column, question: Column) -> Column:
     parts = sentences(F.coalesce(answer, F.lit("")))
     kept = F.trim(F.array_join(F.filter(parts, lambda s: ~bad(s)), ""))
     marked = kept.rlike(PASSAGE_MARKER) | kept.rlike(PAGE_MARKER) | kept.rlike(DATA_MARKER)
-    return F.struct(kept.alias("kept"), F.transform(F.filter(parts, bad), F.trim).alias("removed"), marked.alias("survives"))
+    return F.struct(kept.alias("kept"), F.transform(F.filter(parts, bad), lambda x: F.trim(x)).alias("removed"), marked.alias("survives"))
 
 
 def cited(answer: Column) -> Column:
@@ -135,32 +135,33 @@ def upload_refusal(size: Column, head: Column, most: int = 20 << 20) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too_large").when(~known, "unsupported_format")
 
 
-def _date(words: Column) -> Column:
-    """The first date of a short text: 1 March 2026, March 1, 2026, 2026-03-01 or 01/03/2026 with the day first."""
-    part = lambda pattern, i: F.regexp_extract(words, pattern, i)
-    dmy, mdy, iso, slash = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\s+(\d{4})\b", r"\b([A-Za-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b", r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
-    months = "january february march april may june july august september october november december".split()
+#: Names of months by their first letters, and the forms of a date, each with the places of year, month and day.
+_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = "(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sep|october|oct|november|nov|december|dec)"
+_FORMS = (
+    (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\s+(\d{{4}})\b", 3, 2, 1), (rf"\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", 3, 1, 2),
+    (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3), (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", 3, 2, 1),
+)
 
-    def month(name: Column) -> Column:
-        low = F.lower(name)
-        out = F.lit(None).cast("string")
-        for i, m in enumerate(months, 1):
-            out = F.when((low == m) | (low == m[:3]), f"{i:02d}").otherwise(out)
-        return out
 
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    named = lambda y, m, d: F.when(month(m).isNotNull(), made(y, month(m), d))
-    found = F.coalesce(named(part(dmy, 3), part(dmy, 2), part(dmy, 1)), named(part(mdy, 3), part(mdy, 1), part(mdy, 2)), made(part(iso, 1), part(iso, 2), part(iso, 3)), made(part(slash, 3), F.lpad(part(slash, 2), 2, "0"), part(slash, 1)))
-    return F.when(F.year(found).between(1900, 2100), found)
+def _date(words: Column) -> Column:
+    """The first date of a short lower-case text: 1 march 2026, march 1, 2026, 2026-03-01 or 01/03/2026 with the day first."""
+    found = []
+    for pattern, year, month, day in _FORMS:
+        y, m, d = (F.regexp_extract(words, pattern, i) for i in (year, month, day))
+        number = ((F.instr(F.lit(_STARTS), F.substring(m, 1, 3)) + 2) / 3).cast("int").cast("string") if _MONTH in pattern else m
+        found.append(F.try_to_date(F.concat_ws("-", y, F.lpad(number, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
+    return F.filter(F.array(*found), lambda x: F.year(x).between(1900, 2100))
 
 
 def labelled_date(text: Column, labels: tuple[str, ...] = UPDATED, reach: int = 40) -> Column:
     """The date within ``reach`` characters after the most trusted label that has one; else null."""
     low = F.lower(text)
-    found = []
-    for label in labels:
+
+    def of(label: Column) -> Column:
         # All places of a label are read, so a first mention without a date hides no later one.
-        after = F.regexp_extract_all(low, F.lit(rf"\b{label}\b(.{{0,{reach}}})"), F.lit(1))
-        dates = F.filter(F.transform(after, _date), lambda d: d.isNotNull())
-        found.append(F.when(F.contains(low, F.lit(label)), F.get(dates, F.lit(0))))
-    return F.coalesce(*found)
+        after = F.regexp_extract_all(low, F.concat(F.lit(r"\b"), label, F.lit(rf"\b(.{{0,{reach}}})")), F.lit(1))
+        return F.flatten(F.transform(after, _date))
+
+    present = F.filter(F.array(*map(F.lit, labels)), lambda x: F.contains(low, x))
+    return F.get(F.flatten(F.transform(present, of)), F.lit(0))

@@ -57,7 +57,7 @@ def first_sentence(text: Column, most: int) -> Column:
 
 def summary(text: Column, least: int = 60, most: int = 300) -> Column:
     """The first line of ``least`` characters or more that is no heading, list item or table row, cut at ``most``."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     good = F.filter(lines, lambda x: (F.length(x) >= least) & ~F.substring(x, 1, 1).isin("#", "-", "*", "|"))
     return F.substring(F.get(good, F.lit(0)), 1, most)
 

@@ -14,7 +14,7 @@ COERCIONS = {
     "date_dmy": lambda c: F.try_to_timestamp(c, F.lit("dd/MM/yyyy")).cast("date"),
     "date_mdy": lambda c: F.try_to_timestamp(c, F.lit("MM/dd/yyyy")).cast("date"),
     "string_list": lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""),
-    "csv_list": lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""),
+    "csv_list": lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""),
 }
 
 
@@ -43,3 +43,31 @@ def datapoint(json: Column, path: str) -> Column:
     """A value by dotted path, trimmed to 400 characters; null if it is missing or empty."""
     value = F.get_json_object(json, f"$.{path}")
     return F.when(F.trim(value) != "", F.substring(value, 1, 400))
+
+
+#: Parts of field names that suggest a target, the best first.
+NEEDLES = {
+    "doc_id": ("docid", "docref", "documentnumber", "contentid", "pageid", "controldocid", "matterdocid", "uid", "id"),
+    "title": ("title", "name", "heading", "subject"),
+    "url": ("url", "link", "href", "uri", "webui", "web", "self", "location", "permalink"),
+    "updated_at": ("modified", "updated", "revised", "reviewed", "issued", "published", "date", "changed", "effective"),
+    "space": ("space", "team", "domain", "site", "practice"),
+    "owner": ("owner", "maintainer", "custodian", "accountable"),
+    "labels": ("tag", "label", "topic", "keyword", "categor", "flag"),
+    "sensitivity": ("classification", "level", "infoclass", "handling"),
+    "acl_principals": ("acl", "readgroups", "entitlement", "permitted"),
+}
+
+
+def suggest(fields: DataFrame) -> DataFrame:
+    """(kb, target, field, coercion) suggested for ``fields(kb, place, field)``: the first field that holds the best needle.
+
+    A suggestion is for a reviewer; nothing is applied. Targets without a field have no row.
+    """
+    low = F.lower("field")
+    cells = [F.when(F.contains(low, F.lit(needle)), F.struct(F.lit(target).alias("target"), F.lit(i).alias("needle"))) for target, needles in NEEDLES.items() for i, needle in enumerate(needles)]
+    rows = fields.select("kb", "place", "field", F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    best = rows.groupBy("kb", "target").agg(F.min_by("field", F.struct("needle", "place")).alias("field"))
+    dated = F.when(F.lower("field").rlike("epoch|ts|time"), "date_epoch").otherwise("date_iso")
+    coercion = F.when(F.col("target") == "updated_at", dated).when(F.col("target") == "labels", "csv_list").when(F.col("target") == "acl_principals", "string_list").otherwise("string")
+    return best.select("kb", "target", "field", coercion.alias("coercion"))

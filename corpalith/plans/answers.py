@@ -1 +1,124 @@
-"""x"""
+"""Queries on questions and answers. Where the tables lack what is looked for, it is planted in their texts, and the SQL states it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpalith.functions import answers as A
+from corpalith.functions import urls as U
+from corpalith.operators import embedding, glossary, mapping
+from corpalith.plans.queries import _strings, query
+from corpalith.sources.corpus import table
+
+_PREFIX = "['How do I ', 'Compare and ', 'What is on screen here: ', 'Tell me '][CAST(conv_id % 4 AS INTEGER) + 1]"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.element_at(F.array(*map(F.lit, ("How do I ", "Compare and ", "What is on screen here: ", "Tell me "))), (F.col("conv_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(start, "text").alias("question"))
+
+
+_LOW = f"SELECT conv_id, turn, lower({_PREFIX} || text) AS q FROM conversations WHERE role = 'user'"
+_ANY = lambda words, test: "(" + " OR ".join(f"{test}(q, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH a AS ({_LOW}), p AS (SELECT *, ' ' || regexp_replace(q, '[^a-z0-9]+', ' ', 'g') || ' ' AS padded FROM a)
+SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN false ELSE regexp_matches(padded, ' ({"|".join(A.DEICTIC)}) ') OR conv_id % 3 = 0 END AS live FROM p""")
+def f17_live_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("conv_id") % 5 != 0, "k-1")
+    return _asked(spark, sf_dir).select("conv_id", "turn", A.fetches_live(F.col("question"), key, F.col("conv_id") % 3 != 0).alias("live"))
+
+
+@query(f"WITH a AS ({_LOW}) SELECT conv_id, turn, NOT {_ANY(A.RESEARCH, 'contains')} AND (len(regexp_split_to_array(trim(q), '\\s+')) <= 7 OR {_ANY(A.SINGLE, 'starts_with')}) AS single FROM a")
+def f21_single_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("conv_id", "turn", A.single_shot(F.col("question")).alias("single"))
+
+
+@query("SELECT page_id, url IS NULL OR regexp_extract(url, '^[a-z]+://[^/?#]+') IN ('https://a.example.com', 'http://b.example.org') AS allowed FROM pages")
+def f19_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    origin = F.when(F.col("url").isNotNull(), F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0))
+    return table(spark, sf_dir, "pages").select("page_id", A.origin_allowed(origin, ["https://a.example.com", "http://b.example.org"]).alias("allowed"))
+
+
+@query("SELECT page_id, CASE WHEN strlen(html) = 0 THEN 'empty' WHEN strlen(html) > 2000 THEN 'too_large' END AS refusal FROM pages")
+def f25_upload_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", A.upload_refusal(F.octet_length("html"), F.substring("html", 1, 2048), 2000).alias("refusal"))
+
+
+@query("SELECT doc_id, substring(trim(text), 1, 600) AS span FROM documents")
+def m9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", A.span(F.concat(F.lit("# Heading\n\n"), F.trim("text"))).alias("span"))
+
+
+@query("SELECT doc_id, ['https://a.com/x', 'http://b.org'] AS urls FROM documents WHERE NOT contains(text, '://')")
+def x12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = F.concat(F.lit("See https://a.com/x. "), "text", F.lit(" (http://b.org), https://a.com/x"))
+    return table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("://"))).select("doc_id", U.extract(planted).alias("urls"))
+
+
+@query("SELECT doc_id, substring(text, CAST(greatest(instr(lower(text), 'the') - 60, 1) AS INTEGER), 180) AS snippet FROM documents")
+def x15_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", A.snippet(F.col("text"), F.lit("the")).alias("snippet"))
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS digest FROM pages")
+def x16_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(A.strip_tags(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['Made up 77 [d1].'] ELSE [] END AS removed, doc_id % 3 <> 2 AS survives FROM documents")
+def x17_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id") % 3
+    answer = F.when(n == 0, "The total is 1,284 [page]. Made up 77 [d1].").when(n == 1, "It took 77 days [2].").otherwise("Nothing is marked: 77.")
+    return table(spark, sf_dir, "documents").select("doc_id", A.supported(answer, F.lit("We counted 1284 of them"), F.lit("how many")).alias("s")).select("doc_id", "s.removed", "s.survives")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'invented_citation' WHEN 2 THEN 'fabricated_page' WHEN 3 THEN 'fabricated_data' WHEN 4 THEN 'uncited' END AS reason, doc_id % 5 = 0 AS supported FROM documents")
+def x21_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("Yes [1] and [3].", "Yes [9].", "Yes [page].", "Yes [1] [d4].", "Yes."))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.verdict(said, F.lit(3), F.lit(False), F.lit(2)).alias("v")).select("doc_id", "v.supported", "v.reason")
+
+
+@query("SELECT doc_id, DATE '2019-03-01' + CAST(doc_id % 2000 AS INTEGER) AS changed, DATE '2001-02-03' AS made FROM documents")
+def d1_labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.expr("date '2019-03-01'"), (F.col("doc_id") % 2000).cast("int"))
+    n = F.col("doc_id") % 4
+    said = F.when(n == 0, F.date_format(day, "d MMMM yyyy")).when(n == 1, F.date_format(day, "MMMM d, yyyy")).when(n == 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    text = F.concat("text", F.lit("\nIssued 1 May 2011. Created 2001-02-03.\nLast updated: "), said)
+    return table(spark, sf_dir, "documents").select("doc_id", A.labelled_date(text).alias("changed"), A.labelled_date(text, A.CREATED).alias("made"))
+
+
+_PLANT = "CASE doc_id % 10 WHEN 0 THEN ' Value Added Tax (VAT) is due. VAT applies.' WHEN 1 THEN ' The KYC form.' WHEN 2 THEN ' SLA (service level agreement) and POST.' ELSE '' END"
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') || """ + _PLANT + """ AS text FROM documents), w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{N}_]+')) AS word FROM d), a AS (SELECT doc_id, regexp_replace(word, 's$', '') AS term FROM w WHERE regexp_full_match(word, '[A-Z]{3,6}s?')),
+u AS (SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM a WHERE term NOT IN (""" + _strings(glossary.NOT_TERMS) + """) GROUP BY term),
+n AS (SELECT *, CASE term WHEN 'VAT' THEN 'Value Added Tax' WHEN 'SLA' THEN 'service level agreement' END AS expansion FROM u)
+SELECT term, expansion, CASE WHEN expansion IS NULL THEN 'frequency' ELSE 'expansion' END AS method, documents, occurrences, round(CASE WHEN expansion IS NULL THEN 0.4::DOUBLE ELSE 0.9::DOUBLE END + least(0.1::DOUBLE, documents * 0.02::DOUBLE), 4) AS confidence FROM n WHERE expansion IS NOT NULL OR documents >= 3""")
+def x3_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.discover(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.expr(_PLANT)).alias("text")))
+
+
+@query("SELECT conv_id, turn, CASE conv_id % 2 WHEN 0 THEN ['power of attorney'] ELSE [] END AS added FROM conversations WHERE role = 'user'")
+def x2_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("conv_id") % 2 == 0, "who signs a POA when it ends").otherwise("an important POAs question")
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", glossary.expanded(asked, {"POA": ["power of attorney"], "IT": ["information technology"]}).alias("added"))
+
+
+@query("""WITH w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark),
+f AS (SELECT id, unnest(ws) AS feature, 1.0::DOUBLE AS weight FROM w
+  UNION ALL SELECT id, '#' || substring('^' || x || '$', i, 3), 0.35::DOUBLE FROM (SELECT id, x, unnest(range(1, length(x) + 1)) AS i FROM (SELECT id, unnest(ws) AS x FROM w))
+  UNION ALL SELECT id, ws[i] || '_' || ws[i + 1], 0.6::DOUBLE FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+c AS (SELECT id, CAST(CAST('0x' || substring(md5(feature), 1, 8) AS BIGINT) % 384 AS INTEGER) AS bucket, CASE WHEN CAST('0x' || substring(md5(feature), 9, 1) AS INTEGER) % 2 = 0 THEN weight ELSE -weight END AS w FROM f),
+s AS (SELECT id, bucket, round(sum(w), 6) AS w FROM c GROUP BY id, bucket HAVING round(sum(w), 6) <> 0), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM s GROUP BY id)
+SELECT id, bucket, round(w / norm, 6) AS weight FROM s JOIN n USING (id)""")
+def v1_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embed(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query()
+def m4_suggested_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for the given tables' own fields."""
+    fields = [(name, i, f) for name in ("documents", "pages", "orders", "events", "conversations") for i, f in enumerate(table(spark, sf_dir, name).columns)]
+    return mapping.suggest(spark.createDataFrame(fields, "kb string, place int, field string"))

@@ -80,8 +80,8 @@ def a19_title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {Q._PAIRS}, placed AS (SELECT question_id, doc_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM reranked),
-scored AS (SELECT question_id, doc_id, round(1.0::DOUBLE / (60 + rerank_rank) + 1.0::DOUBLE / (60 + rank), 6) AS score, CAST(rerank_rank AS INTEGER) AS rerank_rank FROM placed)
-SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rerank_rank) <= 16""")
+summed AS (SELECT question_id, doc_id, round(1.0::DOUBLE / (60 + rerank_rank) + 1.0::DOUBLE / (60 + rank), 6) AS score, CAST(rerank_rank AS INTEGER) AS rerank_rank FROM placed)
+SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rerank_rank) <= 16""")
 def v7_second_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen best by the ranks of the channel and of the reranker together."""
     placed = ranking.rerank(Q._pairs(spark, sf_dir)).withColumn("rerank_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rerank_score").desc(), "rank")))

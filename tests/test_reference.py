@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from corpalith import catalogue
+from corpalith.functions import answers as A
 from corpalith.functions import text as T
 from corpalith.functions import urls as U
-from corpalith.operators import access, changes, chunking, mapping, ranking, scope
+from corpalith.operators import access, changes, chunking, embedding, glossary, mapping, ranking, reports, scope, writes
 from corpalith.operators import collections as CO
 from corpalith.operators import evidence as EV
 from corpalith.streaming import events as E
@@ -110,6 +111,12 @@ def test_text(spark):
     assert one(spark, T.redacted, "a@b.co!") == ["[email]!"]
 
 
+def test_trimmed_lists(spark):
+    assert one(spark, mapping.COERCIONS["csv_list"], "a, 1x , 2 2 ,") == [["a", "1x", "2 2"]]
+    line = "10 green bottles are hanging on the wall of the house by the sea"
+    assert one(spark, T.summary, "short\n " + line + " 1 ") == [line + " 1"]
+
+
 def test_urls(spark):
     assert one(spark, U.normalise, "HTTP://www.A.com:443//x//y/?utm_source=1&b=2&a=1#f", "a.com/x", "https://a.com") == ["a.com/x/y?a=1&b=2", "a.com/x", "a.com"]
     assert one(spark, U.extract, "see https://a.com/x. and (http://b.org) https://a.com/x") == [["https://a.com/x", "http://b.org"]]
@@ -185,3 +192,49 @@ def test_url_ladder(spark):
     keys = spark.createDataFrame([(k,) for k in "abcd"], "key string")
     got = {r.key: (r.doc_id, r.rung, r.outcome) for r in CO.resolve(keys, {"exact": frame([("a", 1), ("b", 1), ("b", 2)]), "title": frame([("a", 9), ("c", 3)])}).collect()}
     assert got == {"a": (1, "exact", "accepted"), "b": (None, "exact", "ambiguous"), "c": (None, "title", "ambiguous"), "d": (None, None, "unresolved")}
+
+
+def test_figures_and_verdicts(spark):
+    said = lambda answer, sources="", asked="": one(spark, lambda c: A.supported(c, F.lit(sources), F.lit(asked)), answer)[0]
+    assert one(spark, A.figures, "1,284 and 42% and 3.50 and 7.") == [["1284", "42", "3.5", "7"]]
+    assert said("1284 in all [page].", "we have 1,284").removed == [] and said("42% [d1].", "42 of them").removed == []
+    bad = said("There are 32 [page]. It rose [1].", "30")
+    assert bad.removed == ["There are 32 [page]."] and bad.kept == "It rose [1]." and bad.survives
+    assert not said("There are 32 [page].", "30").survives and said("In 32 cases [page].", "", "why 32?").removed == [] and said("32 [1].").removed == []
+    verdict = lambda text: one(spark, lambda c: A.verdict(c, F.lit(2), F.lit(True), F.lit(1)), text)[0].reason
+    assert [verdict(t) for t in ("a [1]", "a [3]", "a [page]", "a [d2]", "a", None, "I could not find it [1]")] == [None, "invented_citation", None, "fabricated_data", "uncited", "uncited", "declined"]
+    assert one(spark, A.labelled_date, "updated soon. Updated: 3rd March 2020", "Updated: 31/02/2020", "Issued 2020-01-02, last reviewed 5 May 2021", None, "updated " + "x" * 50 + " 2020-01-01") == [
+        dt.date(2020, 3, 3), None, dt.date(2021, 5, 5), None, None]
+    assert one(spark, A.page_context, "a\x00b", None)[0].text == "a b"
+    long = one(spark, A.page_context, "word " * 400)[0]
+    assert long.truncated and len(long.text) <= 1200 and long.text.endswith("word")
+    assert one(spark, A.single_shot, "Compare a and b", "short question", "where is " + "x " * 20, "tell " * 9) == [False, True, True, False]
+    assert one(spark, lambda c: A.fetches_live(c, F.lit("k"), F.lit(True)), "what is my total", "what is tax", None) == [True, False, False]
+    assert one(spark, lambda c: A.origin_allowed(c, []), None, "https://a") == [True, False]
+
+
+def test_glossary_and_vectors(spark):
+    docs = spark.createDataFrame([(2, "Value Added Tax (VAT) and VAT."), (1, "VAT (value of a thing)"), (3, "NPS NPS"), (4, "the NPS"), (5, "NPS POST"), (6, None)], "doc_id long, text string")
+    got = {r.term: (r.expansion, r.documents, r.occurrences) for r in glossary.discover(docs).collect()}
+    assert got == {"VAT": ("value of a thing", 2, 3), "NPS": (None, 3, 4)}
+    stored = spark.createDataFrame([("VAT", "kept", "confirmed"), ("OLD", "x", "proposed")], "term string, expansion string, status string")
+    assert {(r.term, r.expansion, r.status, r.documents) for r in glossary.refreshed(stored, glossary.discover(docs)).collect()} == {("VAT", "kept", "confirmed", 2), ("OLD", "x", "proposed", 0), ("NPS", None, "proposed", 3)}
+    terms = {"POA": ["power of attorney", "durable POA"], "port": [], "IT": ["information technology"]}
+    assert one(spark, lambda c: glossary.expanded(c, terms), "a POA", "important it is", "IT and a power of attorney", None) == [["power of attorney", "durable POA"], [], ["information technology", "POA", "durable POA"], []]
+    cells = embedding.embed(spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")).collect()
+    assert {r.id for r in cells} == {1, 4} and abs(sum(r.weight**2 for r in cells if r.id == 1) - 1) < 1e-4
+    fields = spark.createDataFrame([("k", i, f) for i, f in enumerate(("documentNumber", "docTitle", "lastModified", "tags", "readGroups", "other"))], "kb string, place int, field string")
+    assert {(r.target, r.field, r.coercion) for r in mapping.suggest(fields).collect()} == {
+        ("doc_id", "documentNumber", "string"), ("title", "docTitle", "string"), ("updated_at", "lastModified", "date_iso"), ("labels", "tags", "csv_list"), ("acl_principals", "readGroups", "string_list")}
+
+
+def test_writes_and_reports(spark):
+    turns = spark.createDataFrame([(1, 5, "b"), (1, 4, "a"), (2, 0, "c")], "thread_id int, place int, text string")
+    stored = spark.createDataFrame([(1, 0, "first"), (1, 1, "second")], "thread_id int, ordinal int, text string")
+    assert {tuple(r) for r in writes.append_turns(stored, turns).collect()} == {(1, 2, "a", "first"), (1, 3, "b", "first"), (2, 0, "c", "c")}
+    titles = lambda *t: reports.common_suffix(spark.createDataFrame([(x,) for x in t], "title string")).collect()
+    assert titles("a | S", "b | S", "c | S", "d")[0].suffix == " | S" and titles("a | S", "b | S") == [] and titles("a | S", "b", "c") == []
+    empty = spark.createDataFrame([], "doc_id long, age_days long, ok boolean")
+    assert [r.passed for r in reports.probe(empty, F.col("ok"), F.col("ok")).collect()] == [False, False, None, None, None]
+    use = reports.term_use(spark.createDataFrame([(1, "port Port"), (2, "important")], "doc_id int, text string"), spark.createDataFrame([("port",), ("zz",)], "term string"))
+    assert {tuple(r) for r in use.collect()} == {("port", 1, 2), ("zz", 0, 0)}
