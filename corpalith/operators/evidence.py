@@ -97,7 +97,7 @@ def conflicts(found: DataFrame) -> DataFrame:
     same = (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.unit") == F.col("b.unit")) & (F.col("a.measure") == F.col("b.measure")) & (F.col("a.measure") != "")
     differ = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.value") != F.col("b.value")) & ~F.coalesce(F.col("a.scope") != F.col("b.scope"), F.lit(False))
     shared = F.size(F.array_intersect("a.around", "b.around"))
-    near = (shared >= 3) & (shared / F.least(F.size("a.around"), F.size("b.around")) >= 0.25)
+    near = (shared >= 3) & (shared >= F.least(F.size("a.around"), F.size("b.around")) * 0.25)
     return a.join(b, same & differ).where(near).select("a.question_id", "a.measure", F.col("a.doc_id").alias("doc_a"), F.col("a.value").alias("value_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.value").alias("value_b")).distinct()
 
 

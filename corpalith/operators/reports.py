@@ -41,7 +41,7 @@ def probe(hits: DataFrame, readable: Column, found: Column) -> DataFrame:
     """
     n = lambda c: F.count(F.when(c, 1))
     seen = hits.agg(F.count("*").alias("n"), n(found).alias("found"), n(found & readable).alias("readable"), n(F.col("age_days").isNotNull()).alias("dated"))
-    rate = F.coalesce(F.round(F.col("found") / F.col("n"), 4), F.lit(0.0))
+    rate = F.coalesce(F.round(F.try_divide("found", "n"), 4), F.lit(0.0))
     made = [
         ("index answers", F.col("n") > 0, F.col("n").cast("double")), ("documents resolve", F.col("found") > 0, F.col("found").cast("double")), ("resolution rate", rate >= 0.8, rate),
         ("principal can read", F.col("readable") > 0, F.col("readable").cast("double")), ("documents are dated", F.col("dated") > 0, F.col("dated").cast("double")),

@@ -236,5 +236,7 @@ def test_writes_and_reports(spark):
     assert titles("a | S", "b | S", "c | S", "d")[0].suffix == " | S" and titles("a | S", "b | S") == [] and titles("a | S", "b", "c") == []
     empty = spark.createDataFrame([], "doc_id long, age_days long, ok boolean")
     assert [r.passed for r in reports.probe(empty, F.col("ok"), F.col("ok")).collect()] == [False, False, None, None, None]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in ranking.knn(vectors, vectors.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
     use = reports.term_use(spark.createDataFrame([(1, "port Port"), (2, "important")], "doc_id int, text string"), spark.createDataFrame([("port",), ("zz",)], "term string"))
     assert {tuple(r) for r in use.collect()} == {("port", 1, 2), ("zz", 0, 0)}
