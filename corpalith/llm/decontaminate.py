@@ -4,9 +4,11 @@ A test item with q distinct shingles is contained in a document if the document
 ``ceil(threshold * q)`` of them. Items are partitioned by size (powers of two), and each keeps
 as sketch its ``q - ceil(threshold * q) + 1`` shingles of least hash: a document that contains
 the item misses fewer shingles than that, so it shares at least one of the sketch, and the
-search has full recall. A document's sketch is every shingle whose hash is at or under the
-largest one in an item's sketch of any size partition, so long documents are searched whole, without fixed-length
-signatures that would drown short items. Candidates are verified on the shingles themselves.
+search has full recall. A size partition takes part in a document's search only if the document
+has enough shingles for the partition's smallest item; the document's sketch is every shingle
+whose hash is at or under the largest one in the sketches of those partitions. Long documents are
+searched whole, without fixed-length signatures that would drown short items. A candidate also
+needs as many shingles as its item asks for, and is verified on the shingles themselves.
 
 The item table is broadcast only if its counted size allows; else the sketches are shuffled.
 """
@@ -42,12 +44,21 @@ def shingle_texts(words: Column, k: int) -> Column:
 
 
 def item_sketches(items: DataFrame, item_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
-    """(item_id, part, q, hash): the sketch of every item; part is the size partition."""
+    """(item_id, part, need, hash): the sketch of every item; part is the size partition, need the shingles a document must share."""
     picked = like(items, item_col, text_col).toDF("item_id", "text").where("item_id is not null").distinct()
     split = picked.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
     sets = split.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), k))).alias("hs")).withColumn("q", F.size("hs")).where("q > 0")
-    kept = F.col("q") - F.ceil(F.col("q") * F.lit(threshold) - 1e-9) + 1
-    return sets.select("item_id", F.floor(F.log2("q")).alias("part"), "q", F.explode(F.slice("hs", F.lit(1), kept.cast("int"))).alias("hash"))
+    need = F.ceil(F.col("q") * F.lit(threshold) - 1e-9).cast("int")
+    return sets.select("item_id", F.floor(F.log2("q")).cast("int").alias("part"), need.alias("need"), F.explode(F.slice("hs", F.lit(1), F.col("q") - need + 1)).alias("hash"))
+
+
+def _limit(n: Column, parts: list[tuple[int, int, int]]) -> Column:
+    """The largest hash that a document of ``n`` shingles has to probe, by (part, least need, largest hash) of each size partition."""
+    out, top = F.lit(None).cast("bigint"), None
+    for _, need, largest in sorted(parts):
+        top = largest if top is None else max(top, largest)
+        out = F.when(n >= need, F.lit(top)).otherwise(out)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -58,12 +69,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     matches nothing. Null ids and null or empty texts match nothing; repeated rows are one.
     """
     sketch = durable(item_sketches(items, item_col, item_text, k, threshold))
-    held, top = sketch.agg(F.count("*"), F.max("hash")).first()
+    # One row for each power of two that an item's size can be.
+    sized = sketch.groupBy("part").agg(F.min("need"), F.max("hash"), F.count("*")).collect()
+    held, top = sum(r[3] for r in sized), max((r[2] for r in sized), default=-(1 << 63))
     picked = like(docs, id_col, text_col).toDF("doc_id", "text").where("doc_id is not null and text is not null")
     words = picked.select("doc_id", tokens(F.col("text")).alias("words"))
-    hashes = F.filter(shingle_hashes(F.col("words"), k), lambda h: h <= F.lit(top if top is not None else -(1 << 63)))
-    probes = words.select("doc_id", F.explode(hashes).alias("hash"))
-    pairs = durable(probes.join(small(sketch.select("item_id", "hash"), held), "hash").select("doc_id", "item_id").distinct())
+    hashes = F.filter(shingle_hashes(F.col("words"), k), lambda h: h <= F.lit(top))
+    probes = words.select("doc_id", F.greatest(F.size("words") - k + 1, F.lit(1)).alias("n"), F.explode(hashes).alias("hash")).where(F.col("hash") <= _limit(F.col("n"), [tuple(r)[:3] for r in sized]))
+    met = probes.join(small(sketch.select("item_id", "need", "hash"), held), "hash").where("n >= need")
+    pairs = durable(met.select("doc_id", "item_id").distinct())
 
     texts = like(items, item_col, item_text).toDF("item_id", "item_text").where("item_id is not null").distinct()
     # The words are a column of their own: inside the shingles' lambda they would be split again for every shingle.
