@@ -75,7 +75,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     picked = like(docs, id_col, text_col).toDF("doc_id", "text").where("doc_id is not null and text is not null")
     words = picked.select("doc_id", tokens(F.col("text")).alias("words"))
     hashes = F.filter(shingle_hashes(F.col("words"), k), lambda h: h <= F.lit(top))
-    probes = words.select("doc_id", F.greatest(F.size("words") - k + 1, F.lit(1)).alias("n"), F.explode(hashes).alias("hash")).where(F.col("hash") <= _limit(F.col("n"), [tuple(r)[:3] for r in sized]))
+    # n is made before the generator: made beside it, it would be made anew from the words, which every row would carry.
+    counted = words.select("doc_id", "words", F.greatest(F.size("words") - k + 1, F.lit(1)).alias("n"))
+    probes = counted.select("doc_id", "n", F.explode(hashes).alias("hash")).where(F.col("hash") <= _limit(F.col("n"), [tuple(r)[:3] for r in sized]))
     met = probes.join(small(sketch.select("item_id", "need", "hash"), held), "hash").where("n >= need")
     pairs = durable(met.select("doc_id", "item_id").distinct())
 
