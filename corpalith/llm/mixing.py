@@ -70,8 +70,8 @@ def sainte_lague(claims: DataFrame, group: list[str], key: list[str], votes: str
     return rows.join(on, same, "left").select(*claims.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, text_hash, shard_no, size, source_size, target, quota, taken) for each document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, text_hash, shard_no, size, source_size, target, quota, taken) for each document, and its columns ``keep``.
 
     ``size`` is the number of words (null text: 0) and ``taken`` how many words the mix takes of
     the document, repeats counted: at most ``most`` times its size. Weights repeat over sources in
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shard depends on the seed, the id and the text only, so reruns agree; repeated rows are taken
     row by row. An empty table, or one without words, takes nothing.
     """
-    picked = like(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    rows = durable(picked.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash(F.col("text"), seed).alias("th")))
+    picked = like(docs, id_col, text_col, source_col, *keep).toDF("doc_id", "text", "source", *keep)
+    rows = durable(picked.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), text_hash(F.col("text"), seed).alias("th")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
     weighed = sums.withColumn("nth", order - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("nth") % len(weights) + 1).cast("int")))
@@ -109,4 +109,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return (count(nth) - count(F.lit(0))) * block + (count(nth + 1) - count(nth)) * (position % block)
 
     taken = F.col("passes") * F.col("size") + F.when(F.col("blocks") > 0, before(F.col("stop")) - before(F.col("start"))).otherwise(0)
-    return lined.select("doc_id", "source", F.col("th").alias("text_hash"), "shard_no", "size", "source_size", "target", "quota", F.least(taken, F.floor(F.col("size") * F.lit(most))).cast("long").alias("taken"))
+    return lined.select("doc_id", "source", F.col("th").alias("text_hash"), "shard_no", "size", "source_size", "target", "quota", F.least(taken, F.floor(F.col("size") * F.lit(most))).cast("long").alias("taken"), *keep)
