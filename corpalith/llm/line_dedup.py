@@ -86,18 +86,21 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, th, line_no, h, half0 .. half3) of every line with at least ``min_words`` words.
+def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_words: int) -> DataFrame:
+    """(id, th, line_no, h, half0 .. half3) of every line that is not blank, with at least ``exact_words`` words; no halves under ``min_words``.
 
     ``th``, the hash of the text, tells rows with the same id and other texts apart.
     """
     picked = like(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     rows = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = _normal(rows.where(F.octet_length("line") >= 2 * min_words - 1), F.col("line"), "id", "th", "line_no")
+    rows = _normal(rows.where(F.octet_length("line") >= 2 * exact_words - 1), F.col("line"), "id", "th", "line_no")
     rows = rows.select("id", "th", "line_no", "text", F.split("text", " ").alias("words"))
-    keys = F.struct(F.xxhash64("text").alias("h"), *_halves(F.col("words"), F.size("words")))
+    halves = _halves(F.col("words"), F.size("words"))
+    if exact_words < min_words:
+        halves = [F.when(F.size("words") >= min_words, half).alias(f"half{i}") for i, half in enumerate(halves)]
+    keys = F.struct(F.xxhash64("text").alias("h"), *halves)
     # Short lines give no row here: a filter on the number of words would be pushed down and redo the text.
-    return rows.select("id", "th", "line_no", F.inline(F.when(F.size("words") >= min_words, F.array(keys))))
+    return rows.select("id", "th", "line_no", F.inline(F.when((F.size("words") >= exact_words) & (F.col("text") != ""), F.array(keys))))
 
 
 def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -106,19 +109,20 @@ def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, ho
     return docs.join(small(wanted, wanted.count()), same, how)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """(id, th, line_no, how) of the lines that repeat an earlier line: how is ``exact`` or ``near``.
 
-    Earlier is by id, text hash and line number. Lines under ``min_words`` words, and lines of
-    rows with a null id or text, take no part. Repeated rows (same id and text) are one document.
+    Earlier is by id, text hash and line number. Lines under ``min_words`` words are compared for
+    exact repeats only, those under ``exact_words`` (``min_words`` if not given), blank lines, and
+    lines of rows with a null id or text not at all. Repeated rows (same id and text) are one document.
     """
-    hashed = durable(line_keys(docs, id_col, text_col, min_words))
+    hashed = durable(line_keys(docs, id_col, text_col, min_words, min(min_words, exact_words or min_words)))
     place = F.struct("id", "th", "line_no")
     halves = [f"half{i}" for i in range(4)]
     grouped = hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in halves))
     unique = durable(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
 
-    partnered = _with_partner(unique.select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
+    partnered = _with_partner(unique.where("half0 is not null").select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
     firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
     wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
@@ -148,13 +152,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """The documents with repeated lines taken out of ``text_col``, and ``n_lines_dropped``.
 
     Every input row and column comes out; null texts, empty texts and rows with null ids are
     unchanged. A document that only repeats others is left with an empty text.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_words, exact_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("gone"))
     text = F.col(f"`{text_col}`")
     joined = _matching(docs, durable(gone.toDF("__id", "__th", "__gone")), id_col, text_col, "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
