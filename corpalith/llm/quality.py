@@ -8,13 +8,18 @@ JVM and needs no model files.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import SPACES, like, small
+from corpalith.llm.common import like, slices, small
 
 #: Labelled rows to learn from at most, the least by hash of the id.
 SAMPLE = 20_000
@@ -22,46 +27,81 @@ SAMPLE = 20_000
 STATS = ("stat_words", "stat_mean_word", "stat_upper", "stat_symbols", "stat_digits", "stat_distinct", "stat_longest", "stat_line_words")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text; a null text counts as empty, and shares of nothing are 0."""
-    whole = F.coalesce(text, F.lit(""))
-    flat = F.trim(F.translate(whole, SPACES, "     "))
-    words = F.filter(F.split(flat, " +"), lambda w: w != "")
-    bare = F.regexp_replace(flat, r"[\s\p{L}\p{N}.,;:'’()\-]+", "")
+COUNTS = ("n_words", "n_distinct", "n_longest", "n_chars", "n_spaces", "n_upper", "n_digits", "n_symbols", "n_lines")
+
+#: Classes of code points, and punctuation that is no symbol.
+OTHER, SPACE, UPPER, DIGIT, SYMBOL, END = range(6)
+PLAIN = ".,;:'’()-"
+RUN = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point: white space, capitals, digits, symbols (neither letters, numbers nor plain punctuation), others."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] not in "LNZ" and chr(c) not in PLAIN:
+            out[c] = SYMBOL
+    out[[9, 10, 11, 12, 13, 32]] = SPACE
+    out[65:91], out[0xC0:0xD7], out[0xD8:0xDF], out[0x178] = UPPER, UPPER, UPPER, UPPER
+    out[48:58] = DIGIT
+    return out
+
+
+def count_texts(texts: list[bytes]) -> np.ndarray:
+    """A row of ``COUNTS`` for each UTF-8 text; all code points of a run are classified at once."""
+    if not texts:
+        return np.zeros((0, len(COUNTS)), np.int64)
+    points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
+    chars = np.array([len(p) for p in points])
+    starts = np.cumsum(chars + 1) - chars - 1
+    kind = np.full(int(chars.sum()) + len(texts), END, np.uint8)  # a text is followed by an end, so none is empty
+    lines = np.ones(len(texts), np.int64)
+    for i, (start, p) in enumerate(zip(starts.tolist(), points, strict=True)):
+        kind[start : start + len(p)] = _classes()[p]
+        lines[i] += np.count_nonzero(p == 10)
+    inside = np.concatenate(([False], (kind != SPACE) & (kind != END)))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, width = edge[::2], edge[1::2] - edge[::2]
+    owner = np.searchsorted(starts, first, side="right") - 1
+    longest = np.zeros(len(texts), np.int64)
+    np.maximum.at(longest, owner, width)
+    by_class = [np.add.reduceat(kind == k, starts, dtype=np.int64) for k in (SPACE, UPPER, DIGIT, SYMBOL)]
+    return np.column_stack([np.bincount(owner, minlength=len(texts)), [len(set(t.split())) for t in texts], longest, chars, *by_class, lines])
+
+
+def _count_batch(text: pa.Array) -> pa.Array:
+    parts = [count_texts(held) for _, held in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", RUN)]
+    table = np.concatenate(parts) if parts else count_texts([])
+    return pa.StructArray.from_arrays([pa.array(table[:, i], pa.int64()) for i in range(len(COUNTS))], names=list(COUNTS))
+
+
+def _ratios(n: Callable[[str], Column]) -> dict[str, Column]:
+    """The model's inputs from the counts; shares of nothing are 0."""
+    bare = n("n_chars") - n("n_spaces")
+    ink, words = F.greatest(bare, F.lit(1)), F.greatest(n("n_words"), F.lit(1))
     return {
-        "__n_words": F.size(words),
-        "__n_distinct": F.size(F.array_distinct(words)),
-        "__n_chars": F.length(whole),
-        "__n_plain": F.octet_length(F.regexp_replace(flat, r"[^A-ZÀ-ÞŸ]+", "")),
-        "__n_symbols": F.length(bare),
-        "__n_digits": F.octet_length(F.regexp_replace(flat, "[^0-9]+", "")),
-        "__n_lines": F.size(F.split(whole, "\n")),
-        "__n_spaces": F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit(""))),
-        "__n_longest": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)),
-    }
-
-
-def _ratios() -> dict[str, Column]:
-    """The model's inputs from the counts."""
-    ink = F.greatest(F.col("__n_chars") - F.col("__n_spaces"), F.lit(1))
-    words = F.greatest(F.col("__n_words"), F.lit(1))
-    return {
-        "stat_words": F.log1p("__n_words"),
-        "stat_mean_word": (F.col("__n_chars") - F.col("__n_spaces")) / words,
-        "stat_upper": F.col("__n_plain") / ink,
-        "stat_symbols": F.col("__n_symbols") / ink,
-        "stat_digits": F.col("__n_digits") / ink,
-        "stat_distinct": F.col("__n_distinct") / F.pow(words, F.lit(0.75)),
-        "stat_longest": F.least(F.col("__n_longest"), F.lit(60)).cast("double"),
-        "stat_line_words": F.log1p(F.col("__n_words") / F.col("__n_lines")),
+        "stat_words": F.log1p(n("n_words")),
+        "stat_mean_word": bare / words,
+        "stat_upper": n("n_upper") / ink,
+        "stat_symbols": n("n_symbols") / ink,
+        "stat_digits": n("n_digits") / ink,
+        "stat_distinct": n("n_distinct") / F.pow(words, F.lit(0.75)),
+        "stat_longest": F.least(n("n_longest"), F.lit(60)).cast("double"),
+        "stat_line_words": F.log1p(n("n_words") / n("n_lines")),
     }
 
 
 def with_statistics(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and the model's inputs."""
-    counted = docs.select(*keep, *(c.alias(f"{n}") for n, c in statistics(text).items()))
-    names = counted.columns[: len(keep)]
-    return counted.select(*names, *(c.cast("double").alias(n) for n, c in _ratios().items()))
+    """``keep`` and the model's inputs; a null text counts as empty.
+
+    Texts are counted in Arrow batches, a bounded run at a time; an expression would copy each
+    text once for every count.
+    """
+    count = F.arrow_udf(_count_batch, ", ".join(f"{c} long" for c in COUNTS))
+    counted = docs.select(*keep, count(text).alias("__n"))
+    names = [f"`{c}`" for c in counted.columns[: len(keep)]]
+    return counted.select(*names, *(c.cast("double").alias(n) for n, c in _ratios(lambda name: F.col(f"__n.{name}")).items()))
 
 
 @dataclass(frozen=True)
@@ -155,17 +195,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATS, tree
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id", learn: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows for which ``learn`` (over ``id``) holds: ``sample`` of them at most, chosen by a hash of the id."""
+    """Learn from labelled rows for which ``learn`` (over ``id``) holds: ``sample`` ids at most, chosen by a hash of the id.
+
+    Rows without an id or with another label than 0 and 1 teach nothing. Of repeated ids one row
+    counts, the one with the least statistics, and the greatest label, so at most ``sample`` rows
+    reach the driver. No rows, or one class only, give a constant score.
+    """
     rows = like(labels, label_id, label_col).toDF("id", "y").where("id is not null and y in (0, 1)")
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample).withColumnRenamed("id", "lid")
     texts = like(docs, id_col, text_col).toDF("id", "text")
     joined = texts.join(small(rows, sample), F.col("id") == F.col("lid"))
-    got = with_statistics(joined, F.col("text"), [F.col("id"), F.col("y")]).toPandas().sort_values(["id", *STATS]).reset_index(drop=True)
+    told = with_statistics(joined, F.col("text"), [F.col("id"), F.col("y")]).groupBy("id").agg(F.min(F.struct("y", *STATS)).alias("row"))
+    got = told.select("id", "row.*").toPandas().sort_values("id").reset_index(drop=True)
     return fit_rules(got[list(STATS)].to_numpy(float), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts are scored as texts without words."""
+    """(doc_id, score) of every row, repeated ones too; null and empty texts are scored as texts without words. Null ids stay null."""
     picked = like(docs, id_col, text_col).toDF("doc_id", "text")
     return with_statistics(picked, F.col("text"), [F.col("doc_id")]).select("doc_id", model.score().alias("score"))
