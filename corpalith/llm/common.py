@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
@@ -11,18 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: a word is a run of anything but space and the ASCII controls 9 to 13.
-SPACES = "\t\n\u000b\f\r"
-
-#: Largest table, in rows, that is broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: Largest table, in bytes, that is broadcast; beyond it the join shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where none is set, a temporary one in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpalith"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpalith"))
     return sc.getCheckpointDir()
 
 
@@ -32,19 +33,35 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, options: dict[str, int] | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: for large tables, as values that repeat take little room there.
 
-    Left to its encodings, without a codec, whose native buffers would add to an executor's memory. Like checkpoints, tables stay until the folder is cleaned.
+    Left to its encodings, without a codec, whose native buffers would add to an executor's memory.
+    ``dropped`` takes it away again.
     """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
+    df.write.options(**{k: str(v) for k, v in (options or {}).items()}).option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if ``rows``, its counted size, is within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+def dropped(table: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    spark = table.sparkSession
+    paths = {name.rpartition("/")[0] for name in table.inputFiles() if "/table-" in name}
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spare(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints of tables that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """``df`` marked for broadcast if ``rows``, its counted size, of ``width`` bytes each, come to ``BROADCAST_BYTES`` or less."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def hot_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str = "inner") -> DataFrame:
@@ -63,6 +80,11 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def held_out(column: str, modulus: int) -> Column:
+    """Whether an id is in fold 2, which no model learns from; a null id is not, and isn't learned from either."""
+    return F.coalesce(fold(column, modulus) == 2, F.lit(False)).alias("held_out")
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -87,7 +87,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = pairs.select("doc_id").distinct()
     picked = picked.join(small(found.withColumnRenamed("doc_id", "hit_id"), found.count()), F.col("doc_id") == F.col("hit_id"), "left_semi")
     have = picked.distinct().select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", shingle_texts(F.col("words"), k).alias("have"))
-    checked = have.join(pairs.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id") == F.col("hit_id")).drop("hit_id").join(small(texts, texts.count()), "item_id")
+    wide = texts.agg(F.coalesce(F.sum(F.aggregate("wanted", F.lit(0), lambda s, x: s + F.octet_length(x) + 24)), F.lit(0))).first()[0]
+    checked = have.join(pairs.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id") == F.col("hit_id")).drop("hit_id").join(small(texts, 1, wide), "item_id")
     checked = checked.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_shingles"), F.size(F.array_intersect("wanted", "have")).cast("long").alias("n_shared"))
     checked = checked.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
     return checked.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))

@@ -2,7 +2,8 @@
 
 Edits are of words: two lines are near if inserting, deleting or replacing one word turns one
 into the other (with ``MIN_WORDS`` = 6 they share five sixths or more of their words). Later
-lines that repeat an earlier line, or are near one, go; the earliest stays.
+lines that repeat an earlier line, or are near one, go; the earliest stays. Exact repeats go
+whatever a line's length.
 
 Exact repeats are settled first by a hash. Emitting every deletion variant of every remaining
 line would cost as many rows as the corpus has words, so variants are made only for lines that
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, hot_join, like, small, stored
+from corpalith.llm.common import dropped, durable, hot_join, like, small, spare, stored
 
 MIN_WORDS = 6
 
@@ -66,8 +67,8 @@ def _halves(words: Column, n: Column) -> list[Column]:
 
 
 def _with_partner(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed(h, key, ...)`` whose key is shared with another h."""
-    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("key").alias("shared"))
+    """The rows of ``keyed(h, key, ...)`` whose key another row has too."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared"))
     return hot_join(keyed, shared, [("key", "shared")], "left_semi")
 
 
@@ -104,19 +105,23 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact
 
 
 def _matching(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """Documents joined to ``wanted(__id, __th, ...)``, which is broadcast if its counted size allows."""
-    same = (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
-    return docs.join(small(wanted, wanted.count()), same, how)
+    """(row, id, th, lines) of the documents, each as one struct so that no name can clash, joined to ``wanted(id, th, lines)``.
+
+    ``wanted`` is broadcast if its counted bytes allow.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("th", F.xxhash64(f"row.`{text_col}`"))
+    n, lines = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    return rows.join(small(wanted.withColumnRenamed("th", "w_th"), 1, 32 * n + 48 * lines), (F.col(f"row.`{id_col}`") == F.col("id")) & (F.col("th") == F.col("w_th")), how)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
     """(id, th, line_no, how) of the lines that repeat an earlier line: how is ``exact`` or ``near``.
 
     Earlier is by id, text hash and line number. Lines under ``min_words`` words are compared for
-    exact repeats only, those under ``exact_words`` (``min_words`` if not given), blank lines, and
-    lines of rows with a null id or text not at all. Repeated rows (same id and text) are one document.
+    exact repeats only, those under ``exact_words``, blank lines, and lines of rows with a null id or
+    text not at all. Repeated rows (same id and text) are one document.
     """
-    hashed = durable(line_keys(docs, id_col, text_col, min_words, min(min_words, exact_words or min_words)))
+    hashed = durable(line_keys(docs, id_col, text_col, min_words, min(min_words, exact_words)))
     place = F.struct("id", "th", "line_no")
     halves = [f"half{i}" for i in range(4)]
     grouped = hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in halves))
@@ -124,9 +129,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     partnered = _with_partner(unique.where("half0 is not null").select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
     firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
-    wanted = durable(firsts.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("__lines")))
+    wanted = durable(firsts.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("lines")))
+    spare(docs.sparkSession)
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
-    texts = texts.select(F.split(f"`{text_col}`", "\n").alias("ls"), F.explode("__lines").alias("x"))
+    texts = texts.select(F.split(f"row.`{text_col}`", "\n").alias("ls"), F.explode("lines").alias("x"))
     texts = texts.select("x.h", "x.first", F.element_at("ls", F.col("x.line_no") + 1).alias("line"))
     chosen = durable(_normal(texts, F.col("line"), "h", "first").select("h", "first", F.split("text", " ").alias("words")).dropDuplicates(["h"]))
     n = F.size("words")
@@ -143,24 +149,26 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other = F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = hot_join(met, least, [("key", "k")]).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
     texts = chosen.select("h", "words")
-    near = (
-        pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords"))).select(F.col("h").alias("nh")).distinct()
-    )
+    near = pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords")))
+    near = durable(near.select(F.col("h").alias("nh")).distinct())
+    dropped(variants)
+    spare(docs.sparkSession)
 
     flagged = unique.join(near, unique.h == near.nh, "left").where("nh is not null or repeated").select(F.col("h").alias("rh"), "first", F.col("nh").isNotNull().alias("near"))
     out = hot_join(hashed.select("h", place.alias("place"), "id", "th", "line_no"), flagged, [("h", "rh")])
     return out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
     """The documents with repeated lines taken out of ``text_col``, and ``n_lines_dropped``.
 
     Every input row and column comes out; null texts, empty texts and rows with null ids are
-    unchanged. A document that only repeats others is left with an empty text.
+    unchanged. A document that only repeats others is left with an empty text. An input column
+    named ``n_lines_dropped`` is replaced; no other name has a meaning.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words, exact_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("gone"))
-    text = F.col(f"`{text_col}`")
-    joined = _matching(docs, durable(gone.toDF("__id", "__th", "__gone")), id_col, text_col, "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    columns = [F.when(F.col("__gone").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("n_lines_dropped"))
+    gone = repeated_lines(docs, id_col, text_col, min_words, exact_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("lines"))
+    joined = _matching(docs, durable(gone), id_col, text_col, "left")
+    text = F.col(f"row.`{text_col}`")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("lines", i)), "\n")
+    columns = [F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_lines_dropped"]
+    return joined.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines_dropped"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.llm import decontaminate, flac, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
-from corpalith.llm.common import fold
+from corpalith.llm.common import dropped, durable, fold, held_out
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learn=fold("id", 4) != 2)
     scored = quality.score(docs, model)
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 4), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=fold("doc_id", 4) != 2)
-    return langid.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
+    return langid.identify(docs, model).select("doc_id", held_out("doc_id", 4), "lang_pred", "score", F.size("mixture").alias("n_langs"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,12 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    lm = suffix_lm.fit(docs, learn=fold("doc_id", 7) != 2)
-    scored = suffix_lm.score(docs, lm)
-    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(lm.total).cast("long").alias("train_tokens"), "base_score", "score")
+    """Scores of all documents by a model of those outside fold 2 of 7; the tokenised table goes once its scores are kept."""
+    tokens = suffix_lm.tokenise(_table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
+    lm = suffix_lm.fit(tokens)
+    scored = durable(suffix_lm.score(tokens, lm))
+    dropped(tokens)
+    return scored.select("doc_id", held_out("doc_id", 7), "n_tokens", "n_known", F.lit(lm.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -116,12 +118,13 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents W
 every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
 worded AS (
   SELECT doc_id, line_no, regexp_split_to_array(trim(lower(line), ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \t\x0B\f\r]+') AS w FROM every),
-lines AS (SELECT doc_id, line_no, w, len(w) AS n FROM worded WHERE len(w) >= 6),
+lines AS (SELECT doc_id, line_no, w, len(w) AS n FROM worded WHERE w <> ['']),
 firsts AS (SELECT w, any_value(n) AS n, min({'d': doc_id, 'l': line_no}) AS f FROM lines GROUP BY w),
+long AS (SELECT * FROM firsts WHERE n >= 6),
 halves AS (
-  SELECT f, w, n, 0 AS side, n - less AS m, w[1:((n - less) // 2)] AS half FROM firsts, (VALUES (0), (1)) v(less)
+  SELECT f, w, n, 0 AS side, n - less AS m, w[1:((n - less) // 2)] AS half FROM long, (VALUES (0), (1)) v(less)
   UNION ALL
-  SELECT f, w, n, 1, n - less, w[(n - (n - less) // 2 + 1):n] FROM firsts, (VALUES (0), (1)) v(less)),
+  SELECT f, w, n, 1, n - less, w[(n - (n - less) // 2 + 1):n] FROM long, (VALUES (0), (1)) v(less)),
 near AS (
   SELECT DISTINCT b.f FROM halves a JOIN halves b ON a.side = b.side AND a.m = b.m AND a.half = b.half AND a.f < b.f AND least(a.n, b.n) = a.m
   WHERE len(list_filter(range(1, least(a.n, b.n) + 1), lambda i: a.w[1:i] = b.w[1:i]))

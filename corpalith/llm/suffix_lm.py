@@ -1,305 +1,355 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root is the add-one unigram model over every training token. A state is a context of one to
-``depth`` words of the frequent alphabet. It is kept if it is frequent (a share ``CONTEXT`` of all
-tokens or more), its parent is kept, and its next-symbol distribution diverges from its parent's
-by ``GAIN`` bits a token or more. Symbols seen often enough after a context have probabilities
-of their own, smoothed towards the parent; all others share what is left in the parent's
-proportions, so every state's distribution sums to one. A token is scored by the longest state
-that is a suffix of what came before it.
-
-Sizes: shares of all tokens bound the alphabet, the states and their symbols (1 / share at most),
-so the tree and the frequent words are broadcast. The vocabulary as a whole has no such bound:
-tokens outside the frequent words are joined with their counts by a shuffle.
+The root is the add-one unigram model over every training token. A context of one to ``DEPTH``
+words becomes a state if its shorter suffix is one and if its next-symbol distribution diverges
+from the suffix's: the training log likelihood must gain ``GAIN`` nats or more. Symbols seen
+``LEAST`` times or more after a state have probabilities of their own, smoothed towards the
+suffix; all others share what is left in the suffix's proportions, so every state's distribution
+sums to one. A token is scored by the longest state that is a suffix of what came before it.
+
+All thresholds are absolute, so the tree grows with the corpus. A run of words is known by the
+hash of its key: key(w0..wk) = mix(key(w0..wk-1), key(w1..wk)). A level is counted in one pass
+over the tokenised table, and only where both shorter runs occur ``LEAST`` times (a run is never
+more frequent than its parts): a bit table of bounded size says so, and its false positives only
+cost counting, as counts are exact.
+
+Along a text the ratios of states telescope, so its score is the root's plus one value for each
+run of words: what the run gains as a pair of its state, plus what it costs as a state of the
+next token. These values are one table, joined by a shuffle; the ``HOT`` most frequent runs are
+broadcast, a bounded number, so frequent runs make no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, like, slices
+from corpalith.llm.common import durable, like, slices, spare, stored
 
-#: Least shares of all training tokens: of a word in the broadcast table, of a word in the tree's
-#: alphabet, of a context, and of a symbol after its context.
-FREQUENT, ALPHABET, CONTEXT, AFTER = 1e-6, 1e-4, 2e-4, 1e-6
-DEPTH = 2
-GAIN = 0.02
-SMOOTHING = 20.0
-RUN = 4 << 20
-HELD = 1 << 20
+DEPTH = 5
+#: Least count of a state and of a symbol after it, gain of a state in nats, weight of the suffix in smoothing.
+LEAST, GAIN, SMOOTHING = 4, 6.0, 20.0
+#: Runs of words in the broadcast table, and 64-bit words of a bit table (16 MB), at most.
+HOT, BITS = 1_000_000, 1 << 21
+RUN, HELD = 4 << 20, 1 << 21
 
 #: The end token's hash stands apart from words: no word is empty.
-END = xxhash.xxh64_intdigest(b"", seed=0)
 _hash = partial(xxhash.xxh64_intdigest, seed=0)
+END = np.uint64(_hash(b""))
+#: Odd multipliers of the mixing.
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a run of words from those of the run without its last and without its first word."""
+    x = (a + _C) * _A ^ b * _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token, tokens of each text): A-Z lower-cased words, then the end token."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())))
+    owner, words = pc.list_parent_indices(split).to_numpy(), split.flatten().dictionary_encode()
+    full = np.array([len(w.as_buffer()) > 0 for w in words.dictionary], bool)
+    known = np.fromiter((_hash(w.as_buffer()) for w in words.dictionary), np.uint64, len(words.dictionary))
+    codes = words.indices.to_numpy()
+    there = full[codes] if len(codes) else np.zeros(0, bool)
+    owner, codes = owner[there], codes[there]
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    out = np.full(int(sizes.sum()), END)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(sizes) - 1] = True
+    out[~last] = known[codes]
+    return out, sizes
+
+
+def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None) -> DataFrame:
+    """(row, doc_id, learn, toks): every row's token hashes, written once for all passes over them.
+
+    A null text is empty and has the end token only. ``learn`` says which rows are learned from
+    (all, if it is not given; a null is no). ``row`` tells repeated rows apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, held in slices(batch, "text", RUN):
+                toks, sizes = word_hashes(held)
+                part = batch.slice(first, len(held))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(toks.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), lists], names=["row", "doc_id", "learn", "toks"])
+
+    said = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
+    marked = docs.select(said.alias("__learn"), *(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"))))
+    picked = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("__learn").alias("learn"), "text")
+    made = picked.mapInArrow(run, f"row long, doc_id {picked.schema['doc_id'].dataType.simpleString()}, learn boolean, toks array<long>")
+    return stored(made, {"parquet.dictionary.page.size": 4 << 20})
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, hashes, place in the text of each) of parts of a batch of about ``RUN`` / 8 tokens."""
+    column = batch.column(batch.schema.get_field_index("toks"))
+    ends = column.offsets.to_numpy().astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN // 8, side="right")) - 1)
+        toks = column.values.slice(ends[at], ends[to] - ends[at]).to_numpy().view(np.uint64)
+        sizes = np.diff(ends[at : to + 1])
+        yield batch.slice(at, to - at), toks, np.arange(len(toks)) - np.repeat(ends[at:to] - ends[at], sizes)
+        at = to
+
+
+def _bit(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, mask) of keys in a table of ``n`` words, a power of two: four bits of one word."""
+    h = keys * _A
+    h ^= h >> np.uint64(31)
+    mask = np.zeros(len(keys), np.uint64)
+    for shift in (0, 6, 12, 18):
+        mask |= np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63))
+    return (h >> np.uint64(24)) & np.uint64(n - 1), mask
+
+
+def bit_table(keys: DataFrame, most: int = BITS) -> np.ndarray:
+    """A bit table of ``keys(gram)``, 16 bits a key and ``most`` words at most; its parts are joined by a shuffle."""
+    n = 1 << int(np.ceil(np.log2(max(1, min(most, keys.count() / 4)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(n, np.uint64)
+        for batch in batches:
+            word, mask = _bit(batch.column(0).to_numpy().view(np.uint64), n)
+            np.bitwise_or.at(held, word.astype(np.int64), mask)
+        there = np.flatnonzero(held)
+        for cut in range(0, len(there), 1 << 17):
+            at = there[cut : cut + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], names=["word", "bits"])
+
+    got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(n, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each token, its index in the hashes, sorted distinct hashes); a text ends with the end token."""
-    ids: dict[bytes, int] = {}
-    put = ids.setdefault
-    parts, sizes = [], []
-    for text in texts:
-        words = text.lower().split()
-        parts.extend([put(w, len(ids)) for w in words])
-        parts.append(-1)
-        sizes.append(len(words) + 1)
-    hashes = np.fromiter(map(_hash, ids), np.uint64, len(ids))
-    local = np.array(parts, np.int64)
-    every = np.append(hashes, np.uint64(END))
-    distinct, where = np.unique(every, return_inverse=True)
-    return np.repeat(np.arange(len(texts)), sizes), where[local], distinct
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    word, mask = _bit(keys, len(table))
+    return table[word] & mask == mask
 
 
-def _flush(sums: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    if sums:
-        keys, where = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([c for _, c in sums]), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=names)
+def _levels(toks: np.ndarray, place: np.ndarray, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from 1: (positions, key without the last word, key without the first) of the runs whose parts are in the tables."""
+    key, ok = toks, _among(toks, tables[0])
+    for level in range(1, len(tables) + 1):
+        at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= level)) + 1
+        before, after = key[at - 1], key[at]
+        yield at, before, after
+        if level == len(tables):
+            return
+        key, ok = np.zeros(len(toks), np.uint64), np.zeros(len(toks), bool)
+        key[at] = mix(before, after)
+        ok[at] = _among(key[at], tables[level])
 
 
-def _tally(docs: DataFrame, codes, name: str) -> DataFrame:
-    """Sums over all rows of what ``codes(texts)`` gives: (keys, counts), summed in tasks first."""
+def _unique(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, index of the distinct pair) of pairs of keys."""
+    _, first, where = np.unique(mix(before, after), return_index=True, return_inverse=True)
+    return first, where
+
+
+def _count_level(train: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(ctx, suf, n) of the runs of level ``len(tables)``: exact for all that can occur ``LEAST`` times, summed in tasks first."""
+    shared = train.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                before, after = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                first, where = _unique(before, after)
+                n = np.bincount(where, minlength=len(first))
+                for cut in range(0, len(first), 1 << 18):
+                    at = first[cut : cut + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(after[at].view(np.int64)), pa.array(n[cut : cut + (1 << 18)])], names=["ctx", "suf", "n"])
+
         for batch in batches:
-            for _, held in slices(batch, "text", RUN):
-                sums.append(codes(held))
-                if sum(len(k) for k, _ in sums) > HELD:
-                    yield from _flush(sums, [name, "n"])
-                    sums = []
-        yield from _flush(sums, [name, "n"])
+            for _, toks, place in _runs(batch):
+                *_, (_, before, after) = _levels(toks, place, shared.value)
+                held.append((before, after))
+                if sum(len(x) for x, _ in held) > HELD:
+                    yield from flush()
+        yield from flush()
 
-    return docs.mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
+    return train.select("toks").mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
 
 
-def _unigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    _, token, distinct = tokens(texts)
-    return distinct, np.bincount(token, minlength=len(distinct))
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """(gram, ctx, suf, n) of ``pairs(ctx, suf, n)``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = mix(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], names=["gram", "ctx", "suf", "n"])
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of keys in sorted_keys, -1 if absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+    return pairs.select("ctx", "suf", "n").mapInArrow(run, "gram long, ctx long, suf long, n long")
 
 
-@dataclass
-class Level:
-    """States of one length. ``codes``: sorted context codes; ``pairs``: sorted state * symbols + symbol
-    with the log10 ratio to the parent; ``rest``: that of every other symbol, for each state."""
+def _words(train: DataFrame) -> DataFrame:
+    """(gram, n): how often every word, and the end, occurs."""
 
-    codes: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    ratio: np.ndarray = field(default_factory=lambda: np.empty(0))
-    rest: np.ndarray = field(default_factory=lambda: np.empty(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-@dataclass
-class Tree:
-    """The suffix tree and the frequent words' counts."""
-
-    words: np.ndarray  # sorted hashes of frequent words
-    counts: np.ndarray
-    alphabet: np.ndarray  # sorted hashes; symbol = position + 1, 0 is any other word
-    root: np.ndarray  # probability of each alphabet word, then of all others
-    levels: list[Level] = field(default_factory=list)
-
-    def symbols(self, token: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        return (_find(self.alphabet, distinct) + 1)[token].astype(np.uint64)
-
-    def contexts(self, symbol: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Code of the ``depth`` symbols before each token and whether they are there and all in the alphabet."""
-        size = np.uint64(len(self.alphabet) + 1)
-        code, whole = np.zeros(len(symbol), np.uint64), np.ones(len(symbol), bool)
-        for d in range(depth, 0, -1):
-            before = np.zeros(len(symbol), np.uint64)
-            before[d:] = np.where(doc[d:] == doc[:-d], symbol[:-d], np.uint64(0))
-            code, whole = code * size + before, whole & (before > 0)
-        return code, whole
-
-    def states(self, symbol: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
-        """The state of length ``depth`` at each token, -1 for none."""
-        code, whole = self.contexts(symbol, doc, depth)
-        out = np.full(len(symbol), -1)
-        at = np.flatnonzero(whole)
-        out[at] = _find(self.levels[depth - 1].codes, code[at])
-        return out
-
-    def gains(self, symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its longest state over that at the root."""
-        out = np.zeros(len(symbol))
-        size = np.uint64(len(self.alphabet) + 1)
-        alive = np.arange(len(symbol))
-        for depth, level in enumerate(self.levels, 1):
-            if not len(level.codes):
-                break
-            state = self.states(symbol, doc, depth)[alive]
-            alive, state = alive[state >= 0], state[state >= 0]
-            pair = _find(level.pairs, state.astype(np.uint64) * size + symbol[alive])
-            out[alive] += np.where(pair >= 0, level.ratio[np.maximum(pair, 0)] if len(level.pairs) else 0, level.rest[state])
-        return out
-
-
-def _learn_level(tree: Tree, depth: int, train: DataFrame, total: int, gain: float) -> Level:
-    """Contexts of one more word: count the frequent ones, then what follows them, and test divergence."""
-    size = len(tree.alphabet) + 1
-    known = train.sparkSession.sparkContext.broadcast(tree)
-
-    def held_context(symbol: np.ndarray, doc: np.ndarray, t: Tree) -> tuple[np.ndarray, np.ndarray]:
-        code, whole = t.contexts(symbol, doc, depth)
-        if depth > 1:
-            whole &= t.states(symbol, doc, depth - 1) >= 0
-        return code, whole
-
-    def context_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        doc, token, distinct = tokens(texts)
-        code, whole = held_context(known.value.symbols(token, distinct), doc, known.value)
-        return np.unique(code[whole], return_counts=True)
-
-    if depth == 1:
-        p = tree.root[:-1]
-        codes = (np.flatnonzero(p >= CONTEXT) + 1).astype(np.uint64)
-        codes = codes[tree.alphabet[codes.astype(np.int64) - 1] != np.uint64(END)]
-    else:
-        found = _tally(train, context_codes, "code").where(F.col("n") >= CONTEXT * total).toPandas()
-        codes = np.sort(found["code"].to_numpy(np.int64).view(np.uint64))
-    level = Level(codes)
-    if not len(codes):
-        return level
-    wanted = train.sparkSession.sparkContext.broadcast(codes)
-
-    def pair_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        doc, token, distinct = tokens(texts)
-        symbol = known.value.symbols(token, distinct)
-        code, whole = held_context(symbol, doc, known.value)
-        at = np.flatnonzero(whole)
-        state = _find(wanted.value, code[at])
-        at, state = at[state >= 0], state[state >= 0]
-        return np.unique(state.astype(np.uint64) * np.uint64(size) + symbol[at], return_counts=True)
-
-    tally = durable(_tally(train, pair_codes, "pair"))
-    sums = tally.groupBy(F.floor(F.col("pair") / size).cast("int").alias("state")).agg(F.sum("n").alias("n")).toPandas()
-    state_n = np.zeros(len(codes))
-    state_n[sums["state"].to_numpy()] = sums["n"].to_numpy()
-    got = tally.where((F.col("n") >= max(2.0, AFTER * total)) & (F.col("pair") % size > 0)).toPandas().sort_values("pair")
-    pair, n = got["pair"].to_numpy(np.int64), got["n"].to_numpy(float)
-    state, symbol = pair // size, pair % size
-
-    parent = tree.root[symbol - 1].copy()
-    if depth > 1:  # the parent's probabilities by the same ratios that score
-        tail = (codes[state] % np.uint64(size) ** np.uint64(depth - 1)).astype(np.uint64)
-        for d, lower in enumerate(tree.levels, 1):
-            short = tail % np.uint64(size) ** np.uint64(d)
-            own = _find(lower.codes, short)
-            at = _find(lower.pairs, own.astype(np.uint64) * np.uint64(size) + symbol.astype(np.uint64))
-            log = np.where(at >= 0, lower.ratio[np.maximum(at, 0)] if len(lower.pairs) else 0, lower.rest[np.maximum(own, 0)])
-            parent *= np.where(own >= 0, 10.0**log, 1.0)
-    p = (n + SMOOTHING * parent) / (state_n[state] + SMOOTHING)
-    left = np.maximum(1 - np.bincount(state, p, len(codes)), 1e-9)
-    parent_left = np.maximum(1 - np.bincount(state, parent, len(codes)), 1e-9)
-    rest = np.log10(left / parent_left)
-    ratio = np.log10(p / parent)
-    share = n / np.maximum(state_n[state], 1)
-    unseen = 1 - np.bincount(state, share, len(codes))
-    bits = (np.bincount(state, share * ratio, len(codes)) + unseen * rest) * np.log2(10)
-    kept = np.flatnonzero(bits >= gain)
-    renumber = np.full(len(codes), -1)
-    renumber[kept] = np.arange(len(kept))
-    on = renumber[state] >= 0
-    return Level(codes[kept], (renumber[state[on]] * size + symbol[on]).astype(np.uint64), ratio[on], rest[kept])
+        for batch in batches:
+            for _, toks, _ in _runs(batch):
+                held.append(toks)
+                if sum(map(len, held)) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    return train.select("toks").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class LM:
-    """Counts of every training token (a table), their number, the number of distinct ones, and the tree."""
+    """``values(gram, n, val)``: what each run of words adds to a text's score (natural logarithm), and a word's count;
+    the number of training tokens, and of distinct ones; and ``states``, how many there are of each length."""
 
-    vocabulary: DataFrame
+    values: DataFrame
     total: int
     distinct: int
-    tree: Tree
-
-
-def fit(docs: DataFrame, text_col: str = "text", learn: Column | None = None, depth: int = DEPTH, gain: float = GAIN) -> LM:
-    """Learn from every row for which ``learn`` holds; a null text is empty and still gives an end token."""
-    train = (docs.where(learn) if learn is not None else docs).select(F.col(f"`{text_col}`").alias("text"))
-    vocabulary = durable(_tally(train, _unigrams, "token"))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = vocabulary.where(F.col("n") >= FREQUENT * total).toPandas()
-    words = common["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, n = words[order], common["n"].to_numpy(np.int64)[order]
-    inside = n >= ALPHABET * total
-    root = (n[inside] + 1) / (total + distinct + 1)
-    tree = Tree(words, n, words[inside], np.append(root, 1 - root.sum()))
-    for d in range(1, depth + 1):
-        tree.levels.append(_learn_level(tree, d, train, total, gain))
-        if not len(tree.levels[-1].codes):
+    states: list[int]
+
+
+def fit(tokens: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, smoothing: float = SMOOTHING, most: int = BITS) -> LM:
+    """Learn from every row of ``tokens`` (of ``tokenise``) that is to be learned from. Without any, the model is the root alone."""
+    train = tokens.where("learn")
+    words = durable(_words(train))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = words.where(F.col("n") >= least)
+    known = counted.select("gram", "n", F.log((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("lnq"))
+    tables, values, states = [bit_table(counted.select("gram"), most)], [], []
+    for level in range(1, depth + 1):
+        grams = durable(_keyed(_count_level(train, tables).where(F.col("n") >= least)))
+        spare(tokens.sparkSession)
+        # A run counts if the run without its first word is one of a state, so states' suffixes are states.
+        rows = grams.join(known.select(F.col("gram").alias("s"), F.col("lnq").alias("lnp")), F.col("suf") == F.col("s"))
+        rows = rows.join(counted.select(F.col("gram").alias("c"), F.col("n").alias("cn")), F.col("ctx") == F.col("c"))
+        own = (F.col("n") + smoothing * F.exp("lnp")) / (F.col("cn") + smoothing)
+        rows = durable(rows.select("gram", "ctx", "n", "cn", "lnp", F.log(own).alias("lnq")))
+        sums = rows.groupBy("ctx").agg(F.first("cn").alias("cn"), F.sum(F.exp("lnq")).alias("q"), F.sum(F.exp("lnp")).alias("p"), F.sum("n").alias("used"), F.sum(F.col("n") * (F.col("lnq") - F.col("lnp"))).alias("own"))
+        rest = F.log(F.greatest(1 - F.col("q"), F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9)))
+        kept = sums.select(F.col("ctx").alias("state"), "cn", rest.alias("rest"), F.col("own"), F.col("used")).where(F.col("own") + (F.col("cn") - F.col("used")) * F.col("rest") >= gain)
+        kept = durable(kept.select("state", "cn", "rest"))
+        states.append(kept.count())
+        if not states[-1]:
+            break
+        held = durable(rows.join(kept.select("state", "rest"), F.col("ctx") == F.col("state")).select("gram", "n", "lnq", (F.col("lnq") - F.col("lnp") - F.col("rest")).alias("val")))
+        values += [held.select("gram", "n", "val"), kept.select(F.col("state").alias("gram"), F.col("cn").alias("n"), F.col("rest").alias("val"))]
+        known, counted = held.select("gram", "n", "lnq"), grams.select("gram", "n")
+        if level < depth:
+            tables.append(bit_table(counted.select("gram"), most))
+    every = words.select("gram", "n", F.lit(0.0).alias("val"), F.col("n").alias("c"))
+    for part in values:
+        every = every.union(part.select("gram", "n", "val", F.lit(None).cast("long")))
+    merged = durable(every.groupBy("gram").agg(F.max("n").alias("n"), F.sum("val").alias("val"), F.max("c").alias("c")))
+    spare(tokens.sparkSession)
+    return LM(merged, total, distinct, states)
+
+
+def _hottest(values: DataFrame, most: int) -> DataFrame:
+    """The runs over the least count that leaves ``most`` of them or fewer."""
+    bounded = F.least(F.col("n"), F.lit(1 << 16))
+    bound = (1 << 16) + 1
+    held = 0
+    for n, runs in sorted(values.groupBy(bounded.alias("b")).agg(F.count("*").alias("runs")).collect(), reverse=True):
+        held += runs
+        if held > most:
             break
-    return LM(vocabulary, total, distinct, tree)
+        bound = n
+    return values.where(bounded >= bound)
 
 
-def score(docs: DataFrame, lm: LM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row; null texts count as empty.
+def score(tokens: DataFrame, lm: LM, hot: int = HOT, most: int = BITS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every row of ``tokens``, repeated rows and null ids too.
 
-    ``base_score`` is the unigram model's log10 probability, ``score`` the tree's. Rows come out
-    once for each distinct id and text; rows with the same id and text are counted and repeated.
+    ``base_score`` is the unigram model's log10 probability, ``score`` the tree's.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lm.tree)
-    names = ["row", "doc_id", "tok", "n_tokens", "n_known", "logs", "gain", "times"]
+    sc = tokens.sparkSession.sparkContext
+    top = _hottest(lm.values, hot).select("gram", "val", F.coalesce("c", F.lit(0)).alias("c")).toArrow()
+    keys = top["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    loud = sc.broadcast((keys[order], top["val"].to_numpy()[order], top["c"].to_numpy()[order]))
+    longer = sc.broadcast(bit_table(lm.values.where(F.col("val") != 0).select("gram"), most))
+    depth = len(lm.states)
+    names = ["row", "doc_id", "gram", "times", "n_tokens", "n_known", "logs", "gain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        keys, vals, counts = loud.value
+        logs = np.log10(counts + 1.0)
+
+        def found(grams: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.full(len(grams), -1)
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            return np.where(keys[at] == grams, at, -1)
+
         for batch in batches:
-            keys, ids = batch.column(0), batch.column(1)
-            for first, held in slices(batch, "text", RUN):
-                doc, token, distinct = tokens(held)
-                docs_n = len(held)
-                at = _find(tree.words, distinct)
-                seen = at[token]
-                known = seen >= 0
-                log = np.zeros(len(token))
-                log[known] = np.log10(tree.counts[seen[known]] + 1.0)
-                sizes = np.bincount(doc, minlength=docs_n)
-                n_known = np.bincount(doc, known, docs_n).astype(np.int64)
-                logs = np.bincount(doc, log, docs_n)
-                gains = np.bincount(doc, tree.gains(tree.symbols(token, distinct), doc), docs_n)
-                rare, times = np.unique(doc[~known].astype(np.uint64) * np.uint64(len(distinct)) + token[~known].astype(np.uint64), return_counts=True)
-                owner = (rare // np.uint64(len(distinct))).astype(np.int64)
-                toks = distinct[(rare % np.uint64(len(distinct))).astype(np.int64)].view(np.int64)
-                part_keys, part_ids = keys.slice(first, docs_n), ids.slice(first, docs_n)
-                none = np.zeros(len(rare), np.int64)
-                yield pa.RecordBatch.from_arrays([part_keys, part_ids, part_keys, pa.array(sizes), pa.array(n_known), pa.array(logs), pa.array(gains), pa.array(np.zeros(docs_n, np.int64))], names=names)
-                for cut in range(0, len(rare), 1 << 17):
-                    s = slice(cut, cut + (1 << 17))
-                    take = pa.array(owner[s])
-                    yield pa.RecordBatch.from_arrays([part_keys.take(take), part_ids.take(take), pa.array(toks[s]), pa.array(none[s]), pa.array(none[s]), pa.array(none[s].astype(float)), pa.array(none[s].astype(float)), pa.array(times[s])], names=names)
-
-    picked = like(docs, id_col, text_col).toDF("doc_id", "text")
-    picked = picked.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    parts = picked.mapInArrow(run, f"row long, doc_id {kind}, tok long, n_tokens long, n_known long, logs double, gain double, times long")
-    found = parts.join(lm.vocabulary.select(F.col("token"), "n"), parts.tok == F.col("token"), "left")
-    n = F.when(F.col("times") > 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
-    rows = found.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + F.col("times") * F.log10(n + 1)).alias("logs"),
-        F.sum("gain").alias("gain"),
-        F.count(F.when(F.col("times") == 0, 1)).alias("copies"),
-    )
+            for rows, toks, place in _runs(batch):
+                n = rows.num_rows
+                doc = np.cumsum(place == 0) - 1
+                distinct, where = np.unique(toks, return_inverse=True)
+                hit = found(distinct)[where]
+                on = hit >= 0
+                known = np.bincount(doc, on & (counts[hit] > 0), n) if len(keys) else np.zeros(n)
+                base = np.bincount(doc[on], logs[hit[on]], n) if on.any() else np.zeros(n)
+                gain = np.bincount(doc[on], vals[hit[on]], n) if on.any() else np.zeros(n)
+                owners, grams = [doc[~on]], [toks[~on]]
+                key, alive = toks, np.arange(len(toks))
+                for level in range(1, depth + 1):
+                    key = np.concatenate((key[:1], mix(key[:-1], key[1:])))
+                    alive = alive[place[alive] >= level]
+                    alive = alive[_among(key[alive], longer.value)]  # a longer run's last words are in the table too
+                    hit = found(key[alive])
+                    on = hit >= 0
+                    if on.any():
+                        gain += np.bincount(doc[alive[on]], vals[hit[on]], n)
+                    owners.append(doc[alive[~on]])
+                    grams.append(key[alive[~on]])
+                owner, gram = np.concatenate(owners), np.concatenate(grams)
+                first, same = _unique(owner.astype(np.uint64), gram)
+                times = np.bincount(same, minlength=len(first))
+                ids, row = rows.column(1), rows.column(0)
+                sizes = np.bincount(doc, minlength=n)
+                # A text's own sums are a row that joins nothing: its times are none.
+                yield pa.RecordBatch.from_arrays([row, ids, row, pa.array(np.zeros(n, np.int64)), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], names=names)
+                for cut in range(0, len(first), 1 << 17):
+                    at = first[cut : cut + (1 << 17)]
+                    none, zero = np.zeros(len(at), np.int64), np.zeros(len(at))
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(owner[at])), pa.nulls(len(at), ids.type), pa.array(gram[at].view(np.int64)), pa.array(times[cut : cut + (1 << 17)]), pa.array(none), pa.array(none), pa.array(zero), pa.array(zero)], names=names)
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    parts = tokens.select("row", "doc_id", "toks").mapInArrow(run, f"row long, doc_id {kind}, gram long, times long, n_tokens long, n_known long, logs double, gain double")
+    table = lm.values.select(F.col("gram").alias("g"), "val", "c")
+    joined = parts.join(table, F.col("gram") == F.col("g"), "left")
+    c, times = F.coalesce("c", F.lit(0)), F.col("times")
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, times).otherwise(0)).alias("n_known"),
+        F.sum(F.col("logs") + times * F.log10(c + 1)).alias("logs"), F.sum(F.col("gain") + times * F.coalesce("val", F.lit(0.0))).alias("gain"),
+    )
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(lm.total + lm.distinct + 1)))
-    rows = rows.withColumn("base_score", base / F.col("copies")).withColumn("score", (base + F.col("gain")) / F.col("copies"))
-    rows = rows.withColumn("n_tokens", (F.col("n_tokens") / F.col("copies")).cast("long")).withColumn("n_known", (F.col("n_known") / F.col("copies")).cast("long"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    return sums.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), (base + F.col("gain") / float(np.log(10))).alias("score"))

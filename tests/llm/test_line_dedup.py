@@ -18,8 +18,8 @@ def brute(docs, least=6):
         lines = text.split("\n")
         for n, line in enumerate(lines):
             words = line.lower().split()
-            if len(words) >= least:
-                if any(distance(words, w) <= 1 for w in seen):
+            if words:
+                if words in seen or len(words) >= least and any(len(w) >= least and distance(words, w) <= 1 for w in seen):
                     out.setdefault(i, set()).add(n)
                 seen.append(words)
     return {i: (len(out.get(i, ())), "\n".join(x for n, x in enumerate(t.split("\n")) if n not in out.get(i, ()))) for i, t in docs}
@@ -57,3 +57,17 @@ def test_odd_rows(odd, none):
     assert [(r.text, r.n_lines_dropped) for r in rows if r.doc_id == 2] == [("", 1)]
     assert {r.n_lines_dropped for r in rows if r.doc_id != 2} == {0}  # repeated rows are one document
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_short_lines_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "short line\nshort line\n\n好的好的", 7, "k", [1]), (2, "好的好的\nlast", 7, "k", [1])], "doc_id long, text string, n_lines_dropped int, __gone string, lines array<int>")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "__gone", "lines", "n_lines_dropped"]
+    assert sorted((r.doc_id, r.text, r.n_lines_dropped) for r in got.collect()) == [(1, "short line\n\n好的好的", 1), (2, "last", 1)]
+
+
+def test_shuffled_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"page {i % 7} of the report on everything\nown line {i}") for i in range(60)], "doc_id long, text string")
+    want = sorted(line_dedup.dedup_lines(docs).collect())
+    monkeypatch.setattr("corpalith.llm.common.BROADCAST_BYTES", 0)
+    assert sorted(line_dedup.dedup_lines(docs).collect()) == want

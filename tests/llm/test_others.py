@@ -152,43 +152,69 @@ def test_extract_odd_rows(spark):
 # Suffix tree
 
 
-def test_suffix_tree(spark, odd, none):
+def brute_tree(train, texts, depth, least, gain, smoothing):
+    """Natural log of each text's probability, by counting every run of words in dictionaries."""
+    runs = [Counter(t[i : i + k + 1] for t in train for i in range(len(t) - k)) for k in range(depth + 1)]
+    total, distinct = sum(runs[0].values()), len(runs[0])
+    states = {(): None}
+
+    def p(ctx, s):
+        if not ctx:
+            return (runs[0][(s,)] + 1) / (total + distinct + 1)
+        if ctx not in states:
+            return p(ctx[1:], s)
+        own, rest, n = states[ctx]
+        return (own[s] + smoothing * p(ctx[1:], s)) / (n + smoothing) if s in own else p(ctx[1:], s) * rest
+
+    for k in range(1, depth + 1):
+        after = {}
+        for run, n in runs[k].items():
+            if n >= least and (k == 1 or run[1:-1] in states and run[-1] in states[run[1:-1]][0]):
+                after.setdefault(run[:-1], {})[run[-1]] = n
+        for ctx, own in after.items():
+            n = runs[k - 1][ctx]
+            q = {s: (m + smoothing * p(ctx[1:], s)) / (n + smoothing) for s, m in own.items()}
+            rest = max(1 - sum(q.values()), 1e-9) / max(1 - sum(p(ctx[1:], s) for s in own), 1e-9)
+            if sum(m * math.log(q[s] / p(ctx[1:], s)) for s, m in own.items()) + (n - sum(own.values())) * math.log(rest) >= gain:
+                states[ctx] = (own, rest, n)
+
+    def longest(text, i):
+        return next(text[i - k : i] for k in range(min(i, depth), -1, -1) if text[i - k : i] in states)
+
+    return [sum(math.log(p(longest(t, i), t[i])) for i in range(len(t))) for t in texts], [sum(len(c) == k for c in states) for k in range(1, depth + 1)]
+
+
+@pytest.mark.parametrize(("hot", "bits"), [(1_000_000, 1 << 21), (20, 1)])
+def test_suffix_tree(spark, odd, none, hot, bits):
+    """Against dictionaries, with all runs broadcast, and with few of them and a bit table that is full."""
     rng = np.random.default_rng(7)
     rows = []
     for i in range(300):
-        words = ["a"] if i % 2 else ["x"]
-        for _ in range(rng.integers(5, 40)):  # what follows depends on the last word
-            words.append({"a": "b", "b": "c", "c": "a", "x": "y", "y": "z", "z": "x"}[words[-1]] if rng.random() < 0.8 else str(rng.choice(list("abcxyz"))))
+        words = ["a", "A"][i % 4 == 1 :][:1] if i % 2 else ["x"]
+        for _ in range(rng.integers(5, 40)):  # what follows depends on the last two words
+            last = words[-1].lower()
+            words.append(("c" if words[-2:] == ["a", "b"] else {"a": "b", "b": "x", "c": "a", "x": "y", "y": "z", "z": "x"}[last]) if rng.random() < 0.8 else str(rng.choice(list("abcxyz"))))
         rows.append((i, " ".join(words)))
-    rows.append((300, None))
+    rows += [(300, None), (301, " \t "), (302, "never seen words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    lm = suffix_lm.fit(docs, learn=fold("doc_id", 7) != 2)
-    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*(t or "").split(), ""])
+    tokens = suffix_lm.tokenise(docs, learn=fold("doc_id", 7) != 2)
+    lm = suffix_lm.fit(tokens, depth=4, most=bits)
+    texts = {i: (*(t or "").lower().split(), "") for i, t in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
     total, distinct = sum(counts.values()), len(counts)
     assert (lm.total, lm.distinct) == (total, distinct)
-    got = {r.doc_id: r for r in suffix_lm.score(docs, lm).collect()}
-    assert len(got) == 301
-    for i, t in rows:
-        words = [*(t or "").split(), ""]
+    want, states = brute_tree(train, list(texts.values()), 4, suffix_lm.LEAST, suffix_lm.GAIN, suffix_lm.SMOOTHING)
+    assert [*lm.states, 0, 0, 0, 0][:4] == states and states[1] > 0
+    got = {r.doc_id: r for r in suffix_lm.score(tokens, lm, hot, bits).collect()}
+    assert len(got) == 303
+    for (i, words), natural in zip(texts.items(), want, strict=True):
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words)
         assert got[i].base_score == pytest.approx(base) and got[i].n_tokens == len(words) and got[i].n_known == sum(counts[w] > 0 for w in words)
-    held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
-    rows = suffix_lm.score(odd, lm).collect()
+        assert got[i].score == pytest.approx(natural / math.log(10))
+    rows = suffix_lm.score(suffix_lm.tokenise(odd), lm, hot, bits).collect()
     assert len(rows) == odd.count() and all(r.score < 0 for r in rows)
-    empty = suffix_lm.fit(none)
-    assert (empty.total, empty.distinct) == (0, 0) and suffix_lm.score(none, lm).count() == 0
-    assert {r.n_known for r in suffix_lm.score(odd, empty).collect()} == {0}
-
-
-def test_states_are_distributions(spark):
-    docs = spark.createDataFrame([(i, "the cat sat on the mat the cat ran " * 5) for i in range(40)], "doc_id long, text string")
-    tree = suffix_lm.fit(docs).tree
-    size = len(tree.alphabet) + 1
-    level = tree.levels[0]
-    assert len(level.codes)
-    for s in range(len(level.codes)):
-        own = level.pairs // np.uint64(size) == s
-        symbols = (level.pairs[own] % np.uint64(size)).astype(int)
-        stored = tree.root[symbols - 1]
-        assert (stored * 10 ** level.ratio[own]).sum() + (1 - stored.sum()) * 10 ** level.rest[s] == pytest.approx(1)
+    nothing = suffix_lm.tokenise(none)
+    empty = suffix_lm.fit(nothing)
+    assert (empty.total, empty.distinct, empty.states) == (0, 0, [0]) and suffix_lm.score(nothing, lm).count() == 0
+    assert {r.n_known for r in suffix_lm.score(tokens, empty).collect()} == {0}
