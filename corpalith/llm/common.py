@@ -54,7 +54,11 @@ def dropped(table: DataFrame) -> None:
 
 
 def spare(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files and checkpoints of tables that are no longer referred to."""
+    """Let Spark's cleaner remove the shuffle files and checkpoints of tables that are no longer referred to.
+
+    The scheduler refers to the last job until it has seen another.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -3,8 +3,9 @@
 A model has, for each language, smoothed frequencies of letter trigrams folded to a fixed number
 of buckets, counted over every training text. A document is taken as a mixture: expectation-
 maximisation estimates what share of its trigrams each language gave. Its set of languages is
-grown from the best one, in the order of those shares, while the likelihood penalised by
-``PENALTY`` * log(number of trigrams) for each language keeps rising.
+grown from the best single one, by the others in the order of those shares (ties by name), while
+the likelihood penalised by ``PENALTY`` * log(number of trigrams) for each language keeps rising,
+and stops at the first set where it doesn't.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from corpalith.llm.common import like, slices
 
 BUCKETS = 1 << 15
 PENALTY = 2.0
-ROUNDS = 8
+#: Rounds of expectation-maximisation at most, and the change of a share that ends them.
+ROUNDS, SETTLED = 50, 1e-3
 RUN = 1 << 20
 
 
@@ -86,33 +88,53 @@ class Model:
         p = np.exp(logp - top[:, None])
         base = np.add.reduceat(count * top, cut)
 
-        def em(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(ROUNDS):
-                joint = p * share[nth]
-                joint *= (count / joint.sum(1))[:, None]
-                share = np.add.reduceat(joint, cut, axis=0) / total[:, None]
-                share = np.maximum(share, 1e-12)
-            return share, base + np.add.reduceat(count * np.log((p * share[nth]).sum(1)), cut)
-
-        size = len(self.langs)
-        share, _ = em(np.full((len(ids), size), 1 / size))
+        ends = np.append(cut, len(doc))
+
+        def em(share: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Shares and log likelihoods of the texts ``which``; a text whose shares have settled takes no further part."""
+            out, likelihood = share.copy(), np.zeros(len(which))
+            alive = np.arange(len(which))
+            while len(alive):
+                sizes = (ends[1:] - cut)[which[alive]]
+                at = np.repeat(cut[which[alive]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                starts, own = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(alive)), sizes)
+                here, times, now = p[at], count[at], out[alive]
+                for _ in range(ROUNDS if len(alive) < 64 else 8):
+                    joint = here * now[own]
+                    joint *= (times / joint.sum(1))[:, None]
+                    new = np.maximum(np.add.reduceat(joint, starts, axis=0) / total[which[alive]][:, None], 1e-12)
+                    moved, now = np.abs(new - now).max(1), new
+                    rounds[which[alive]] += 1
+                    if (moved < SETTLED).all():
+                        break
+                out[alive] = now
+                likelihood[alive] = base[which[alive]] + np.add.reduceat(times * np.log((here * now[own]).sum(1)), starts)
+                alive = alive[(moved >= SETTLED) & (rounds[which[alive]] < ROUNDS)]
+            return out, likelihood
+
+        size, every = len(self.langs), np.arange(len(ids))
+        rounds = np.zeros(len(ids), np.int64)
+        share, _ = em(np.full((len(ids), size), 1 / size), every)
         single = np.add.reduceat(logp * count[:, None], cut, axis=0)
-        order = np.argsort(-share, 1, kind="stable")
         first = single.argmax(1)
+        ahead = share.copy()
+        ahead[every, first] = 2.0  # the best single language leads its sets
+        order = np.argsort(-ahead, 1, kind="stable")
         best = np.zeros_like(share)
-        best[np.arange(len(ids)), first] = 1.0
+        best[every, first] = 1.0
         fee = PENALTY * np.log(total + 1)
         value = single.max(1) - fee
-        rising = np.ones(len(ids), bool)
+        rising = every
         for m in range(2, size + 1):
-            if not rising.any():
+            if not len(rising):
                 break
-            start = np.full_like(share, 1e-12)
-            np.put_along_axis(start, order[:, :m], 1 / m, 1)
-            mixed, likelihood = em(start)
-            better = rising & (likelihood - m * fee > value)
-            best[better], value[better] = mixed[better], (likelihood - m * fee)[better]
-            rising = better
+            start = np.full((len(rising), size), 1e-12)
+            np.put_along_axis(start, order[rising, :m], 1 / m, 1)
+            rounds[rising] = 0
+            mixed, likelihood = em(start, rising)
+            better = likelihood - m * fee[rising] > value[rising]
+            best[rising[better]], value[rising[better]] = mixed[better], (likelihood - m * fee[rising])[better]
+            rising = rising[better]
         pick = best.argmax(1)
         for i, d in enumerate(ids.tolist()):
             kept = [(self.langs[j], float(best[i, j])) for j in np.flatnonzero(best[i] > 1e-6)]

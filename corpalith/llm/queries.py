@@ -12,8 +12,8 @@ from corpalith.llm.common import dropped, durable, fold, held_out
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Hosts whose pages stand in for a list of unwanted URLs, as no such table is given.
-LISTED_HOSTS = r"(^|\.)(spam-farm|casino-win|ads-track|cheap-pills|adult-x)\.example\.(com|net|org)$"
+#: The tables hold no list of unwanted URLs: the canonical URLs whose MD5 starts with this digit stand in for one, in any input.
+LISTED = "0"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, then by the list; see ``url_filter.filter_urls``."""
     pages = _table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    listed = pages.where(F.md5(url_filter.canonical(F.col("url"))).startswith(LISTED))
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
@@ -96,7 +97,7 @@ rules AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v
 fits AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled
   FROM named JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-listed AS (SELECT DISTINCT canonical AS c FROM named WHERE regexp_matches(host, '{LISTED_HOSTS}') AND canonical IS NOT NULL)
+listed AS (SELECT DISTINCT canonical AS c FROM named WHERE starts_with(md5(canonical), '{LISTED}'))
 SELECT n.page_id, host, path, rule, coalesce(ruled, CASE WHEN c IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical
 FROM named n LEFT JOIN fits USING (page_id) LEFT JOIN listed ON canonical = c
 """,

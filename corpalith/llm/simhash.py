@@ -6,10 +6,11 @@ exclusive-or and bit counts, and linked fingerprints are merged to components.
 Comparing all tiles of N fingerprints costs N*N. Two fingerprints within ``radius`` bits agree
 on at least ``bands - radius`` of any ``bands`` disjoint bit ranges, so tiles are cut inside
 groups that agree on such a choice: no link is lost, and groups stay small because the number
-of bands grows with the number of fingerprints. Inside a group, rows are ordered by population
-count and tile pairs whose population counts differ beyond the radius are skipped. A group over
-``tile`` rows is dealt to cells, one for each pair of its tiles, so no task holds more than two
-tiles. A cell gives back a spanning star of each set it links, not all pairs.
+of bands grows with the number of fingerprints. A group over ``tile`` rows is dealt to tiles by
+population count, and a cell is made only for each pair of tiles whose population counts can be
+within the radius, so no task holds more than two tiles. Inside a cell rows are ordered by
+population count and pairs of smaller tiles beyond the radius are skipped as well. A cell gives
+back a spanning star of each set it links, not all pairs.
 """
 
 from __future__ import annotations
@@ -81,12 +82,11 @@ def bands_for(n: int, radius: int = RADIUS, fill: int = 2048) -> int:
     return 2 * radius + 4
 
 
-def linked(fps: np.ndarray, radius: int = RADIUS, tile: int = 512) -> np.ndarray:
-    """For each fingerprint the index of a member that stands for its linked set."""
+def tile_pairs(fps: np.ndarray, radius: int, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices of fingerprints within the radius, tile by tile; tiles are ordered by population count, and pairs of tiles beyond the radius are skipped."""
     counts = np.bitwise_count(fps)
     order = np.argsort(counts, kind="stable")
     x, pc = fps[order], counts[order].astype(np.int64)
-    label = np.arange(len(x))
     for i in range(0, len(x), tile):
         a, top = x[i : i + tile], pc[min(i + tile, len(x)) - 1]
         for j in range(i, len(x), tile):
@@ -94,11 +94,15 @@ def linked(fps: np.ndarray, radius: int = RADIUS, tile: int = 512) -> np.ndarray
                 break
             p, q = np.nonzero(np.bitwise_count(a[:, None] ^ x[None, j : j + tile]) <= radius)
             keep = p + i < q + j
-            p, q = p[keep] + i, q[keep] + j
-            _merge(label, p, q)
-    out = np.empty(len(x), np.int64)
-    out[order] = order[label]
-    return out
+            yield order[p[keep] + i], order[q[keep] + j]
+
+
+def linked(fps: np.ndarray, radius: int = RADIUS, tile: int = 512) -> np.ndarray:
+    """For each fingerprint the index of a member that stands for its linked set."""
+    label = np.arange(len(fps))
+    for p, q in tile_pairs(fps, radius, tile):
+        _merge(label, p, q)
+    return label
 
 
 def _merge(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -157,10 +161,19 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS, tile: int = 1024) -> Da
     """Spanning links (u, v) between the ``n`` distinct fingerprints ``reps(fp, rep)`` within the radius."""
     chosen = masks(bands_for(n, radius), radius)
     keyed = reps.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("k", "v"))
-    full = keyed.groupBy("k", "v").agg(F.count("*").alias("held")).where("held > 1").select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.ceil(F.col("held") / tile).cast("int").alias("tiles"))
-    dealt = hot_join(keyed, full, [("k", "k2"), ("v", "v2")])
-    own = F.pmod(F.xxhash64("fp", "k"), F.col("tiles")).cast("int")
-    dealt = dealt.withColumn("own", own).select("k", "v", "fp", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    # Population counts of a range of radius + 1 can be near those of the same and the next range only.
+    keyed = keyed.withColumn("range", F.floor(F.bit_count("fp") / (radius + 1)))
+    ranges = keyed.groupBy("k", "v", "range").agg(F.count("*").alias("held")).withColumn("tiles", F.ceil(F.col("held") / tile))
+    full = ranges.groupBy("k", "v").agg(F.sum("held").alias("held"), F.collect_list(F.struct("range", "tiles")).alias("ranges")).where("held > 1")
+    dealt = hot_join(keyed, full.withColumnsRenamed({"k": "k2", "v": "v2"}), [("k", "k2"), ("v", "v2")])
+    near = F.filter("ranges", lambda r: F.abs(r["range"] - F.col("range")) <= 1)
+    number = lambda r, t: r * (1 << 40) + t
+    tiles = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0).cast("long"), r["tiles"] - 1), lambda t: number(r["range"], t))))
+    mine = F.element_at(F.filter("ranges", lambda r: r["range"] == F.col("range")), 1)["tiles"]
+    own = number(F.col("range"), F.pmod(F.xxhash64("fp", "k"), mine))
+    one = F.col("held") <= tile
+    dealt = dealt.withColumn("own", F.when(one, F.lit(0).cast("long")).otherwise(own))
+    dealt = dealt.select("k", "v", "fp", "rep", "own", F.explode(F.when(one, F.array(F.lit(0).cast("long"))).otherwise(tiles)).alias("other"))
     cells = dealt.select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "rep")
     cells = cells.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi")
     return cells.mapInArrow(lambda batches: _compare(batches, radius), "u long, v long")

@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import ascii_lower, durable, like
+from corpalith.llm.common import ascii_lower, durable, hot_join, like
 
 WORDS = 8
 KEYS_PER_BLOCK = 32
@@ -84,10 +84,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     rows = rows.withColumn("at", F.pmod("h", F.lit(blocks)))
     probed = rows.join(F.broadcast(bits), F.col("at") == F.col("block"), "left")
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_bits("h"))])
-    probed = probed.select("page_id", "host", "path", "canonical", "rule", "ruled", "h", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False)).alias("possible"))
+    # Kept once, as both kinds of rows are taken from it: the pages are read and cut up a single time.
+    probed = durable(probed.select("page_id", "host", "path", "canonical", "rule", "ruled", "h", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False)).alias("possible")))
 
     out = ["page_id", "host", "path", "canonical", "rule", "possible"]
     clear = probed.where("not possible").select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    exact = known.select(F.col("c"), F.col("h").alias("kh")).hint("shuffle_hash")
-    maybe = probed.where("possible").join(exact, (F.col("h") == F.col("kh")) & (F.col("canonical") == F.col("c")), "left")
+    exact = known.select(F.col("c"), F.col("h").alias("kh"))
+    maybe = hot_join(probed.where("possible"), exact, [("h", "kh"), ("canonical", "c")], "left")
     return clear.union(maybe.select(*out, F.coalesce("ruled", F.when(F.col("c").isNotNull(), "block").otherwise("allow")).alias("verdict")))

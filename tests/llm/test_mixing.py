@@ -55,3 +55,35 @@ def test_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0
     empty = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {r.taken for r in mixing.mix(empty).collect()} == {0}
+
+
+def test_quotas_by_steps(spark):
+    """With groups of shards: the seats are all dealt, each step by the highest quotients, and few shards match one step."""
+    rng = random.Random(8)
+    votes = [rng.choice((0, rng.randint(1, 500))) for _ in range(23)]
+
+    def highest(votes, seats):
+        best = sorted(((-v / (2 * s + 1), i, s) for i, v in enumerate(votes) if v for s in range(seats)))[:seats]
+        won = Counter(i for _, i, _ in best)
+        return [won[i] for i in range(len(votes))]
+
+    def steps(votes, seats, width, fan):
+        if width == 1:
+            return highest(votes, seats)
+        parts = [votes[i : i + width] for i in range(0, len(votes), width)]
+        return [q for part, n in zip(parts, highest([sum(x) for x in parts], seats), strict=True) for q in steps(part, n, width // fan, fan)]
+
+    held = spark.createDataFrame([(7, i, 90, v) for i, v in enumerate(votes)], "nth int, shard_no long, seats long, held long")
+    for fan, width in ((64, 1), (5, 5), (3, 9)):
+        got = {r.shard_no: r.quota for r in mixing.shard_quotas(held, len(votes), fan).collect()}
+        assert [got[i] for i in range(23)] == steps(votes, 90, width, fan)
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    """The mix of equal rows is that of the line of all their words; a thousand rows without an id are one group."""
+    docs = [(None, "a b c", "s")] * 1000 + [(1, "d e f g", "s")] * 3 + [(2, "x", "t")]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert Counter((r.doc_id, r.times) for r in rows) == {(None, 1000): 1000, (1, 3): 3, (2, 1): 1}
+    assert all(r.taken <= 2 * r.size for r in rows)
+    want = brute_targets({"s": 3012, "t": 1}, {"s": 3, "t": 1})
+    assert sum(r.taken for r in rows if r.source == "s") == pytest.approx(want["s"], abs=17)
