@@ -321,9 +321,14 @@ def decode_frames(buf: np.ndarray, body: np.ndarray, samples: np.ndarray, bps: n
     n, pos, bits = samples[order_of].astype(np.int64), body[order_of].astype(np.int64) * 8, _Bits(buf)
     width = bps[order_of].astype(np.int64)
     kind = bits.take(pos, 8) >> 1
-    if (bits.take(pos, 8) & 1).any():
-        raise ValueError("wasted bits are not supported")
+    wasted = bits.take(pos, 8) & 1
     pos = pos + 8
+    if wasted.any():  # one bit less for each zero before the next one, and one more
+        ahead = bits.peek(pos) >> np.uint64(32)
+        if not ahead[wasted > 0].all():
+            raise ValueError("more wasted bits than a sample has")
+        wasted *= 33 - np.frexp(np.maximum(ahead, np.uint64(1)).astype(np.float64))[1].astype(np.int64)
+        pos, width = pos + wasted, width - wasted
     order = np.where(kind >= 32, kind - 31, np.where(kind >= 8, kind - 8, 0))
     if ((kind > 1) & (kind < 8) | (kind > 12) & (kind < 32)).any():
         raise ValueError("a reserved subframe")
@@ -353,7 +358,7 @@ def decode_frames(buf: np.ndarray, body: np.ndarray, samples: np.ndarray, bps: n
             pos[now] += wide
     coded = np.flatnonzero(kind >= 8)
     if not len(coded):
-        return _rows(x[top:], order_of)
+        return _rows(x[top:] << wasted, order_of)
     # Residuals: partitions with a Rice parameter, or raw bits after the escape value
     method, depth = bits.take(pos[coded], 2), bits.take(pos[coded] + 2, 4)
     if (method > 1).any():
@@ -416,7 +421,7 @@ def decode_frames(buf: np.ndarray, body: np.ndarray, samples: np.ndarray, bps: n
             samples_of[top + i, a] = np.where(ready, got, samples_of[top + i, a])
             c_pos[a] += np.where(ready, used, 0)
     x[:, coded] = samples_of
-    return _rows(x[top:], order_of)
+    return _rows(x[top:] << wasted, order_of)
 
 
 def _rows(x: np.ndarray, order_of: np.ndarray) -> np.ndarray:
@@ -450,7 +455,7 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's padded UTF-8 bytes as a FLAC stream. A null counts as empty."""
+    """(doc_id, n_bytes, media): each text's padded UTF-8 bytes as a FLAC stream. A null counts as empty; every row comes out, repeated ones and null ids too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,64 +468,99 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, block_no, sample_offset, n_samples, pcm, crc_ok): the blocks of each stream.
+def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, block_no, sample_offset, n_samples, pcm, crc_ok, md5, media_bytes, media_sha256) of each block of each stream, and its columns ``keep``.
 
     ``pcm`` is unsigned 8-bit samples (other depths: little-endian 32-bit); ``sample_offset`` is
-    where a block starts, so a reader can seek without decoding what comes before. A null stream
-    has no blocks; a damaged frame has ``crc_ok`` false, and bytes that are no stream raise.
+    where a block starts, so a reader can seek without decoding what comes before. ``md5`` is the
+    stream's own, of all its samples. A null stream has no blocks; a damaged frame has ``crc_ok``
+    false, and bytes that are no mono stream raise. Blocks of a stream follow one another, and
+    repeated rows give their blocks again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, held in slices(batch, "media", 2 << 20):
                 at = [i for i, data in enumerate(held) if data]
-                ids = batch.column(0).slice(first, len(held))
+                rows = batch.slice(first, len(held))
+                marks = [(frames_of(held[i])[2], len(held[i]), hashlib.sha256(held[i]).hexdigest()) for i in at]
                 for part in _chunks(decode([held[i] for i in at]), FRAMES):
                     pcm = [(x + 128).astype(np.uint8).tobytes() if x.min() >= -128 and x.max() < 128 else x.astype("<i4").tobytes() for _, _, _, x, _ in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([at[p[0]] for p in part])), pa.array([p[1] for p in part], pa.int32()), pa.array([p[2] for p in part], pa.int64()), pa.array([len(p[3]) for p in part], pa.int32()), pa.array(pcm, pa.binary()), pa.array([p[4] for p in part])],
-                        names=["doc_id", "block_no", "sample_offset", "n_samples", "pcm", "crc_ok"],
-                    )
-
-    picked = like(media, id_col, media_col).toDF("doc_id", "media")
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, block_no int, sample_offset long, n_samples int, pcm binary, crc_ok boolean")
-
-
-def features(payload: bytes) -> str:
-    """Level, spread, share of sign changes and peak of 8-bit samples."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    level, square = int(x.sum()), int(np.dot(x, x))
-    return f"mean={level / len(x):.6f};rms={(square / len(x)) ** 0.5:.6f};zcr={crossings / len(x):.6f};peak={int(np.abs(x).max())}"
+                    own = pa.array([at[p[0]] for p in part])
+                    columns = [pa.array([p[1] for p in part], pa.int32()), pa.array([p[2] for p in part], pa.int64()), pa.array([len(p[3]) for p in part], pa.int32()), pa.array(pcm, pa.binary()), pa.array([p[4] for p in part])]
+                    of = [pa.array([marks[p[0]][j] for p in part], kind) for j, kind in enumerate((pa.binary(), pa.int64(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(own), *columns, *of, *(rows.column(2 + j).take(own) for j in range(len(keep)))], names=names)
+
+    names = ["doc_id", "block_no", "sample_offset", "n_samples", "pcm", "crc_ok", "md5", "media_bytes", "media_sha256", *keep]
+    picked = like(media, id_col, media_col, *keep).toDF("doc_id", "media", *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    return picked.mapInArrow(run, f"doc_id {kinds['doc_id']}, block_no int, sample_offset long, n_samples int, pcm binary, crc_ok boolean, md5 binary, media_bytes long, media_sha256 string{more}")
+
+
+class Reader:
+    """What the 8-bit samples of one stream add up to, block by block."""
+
+    def __init__(self, unit: int) -> None:
+        self.unit, self.length, self.tail = unit, 0, b""
+        self.sha, self.md5 = hashlib.sha256(), hashlib.md5()
+        self.level = self.square = self.crossings = self.peak = 0
+        self.below: bool | None = None
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.uint8).astype(np.int32) - 128
+        self.length += len(pcm)
+        self.tail = (self.tail + pcm)[-self.unit :]
+        self.sha.update(pcm)
+        self.md5.update(x.astype(np.int8).tobytes())
+        below = x < 0
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.below is not None and bool(below[0]) != self.below)
+        self.below = bool(below[-1])
+        self.level, self.square, self.peak = self.level + int(x.sum()), self.square + int(np.dot(x, x)), max(self.peak, int(np.abs(x).max()))
+
+    def features(self) -> str:
+        """Level, spread, share of sign changes and peak."""
+        n = self.length
+        return f"mean={self.level / n:.6f};rms={(self.square / n) ** 0.5:.6f};zcr={self.crossings / n:.6f};peak={self.peak}"
+
+
+def digests(blocks: DataFrame, unit: int = UNIT) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each stream of ``pcm_blocks``.
+
+    ``blocks`` come as ``pcm_blocks`` gives them, with ``n_bytes``: one after another, a stream at a
+    time, so one stream's sums are all that is held. Raises if a frame's checksum or a stream's MD5
+    doesn't fit, or samples have more than 8 bits.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (kind_of, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-def digests(media: DataFrame, unit: int = UNIT) -> DataFrame:
-    """What the stored streams of ``media(doc_id, n_bytes, media)`` hold, from their decoded blocks.
+        now, reader, out, kind_of = None, None, [], pa.int64()
 
-    Raises if a frame's checksum or a stream's MD5 doesn't fit.
-    """
-    import pyspark.sql.functions as F
+        def ended() -> tuple:
+            if reader.md5.digest() != now["md5"]:
+                raise ValueError("the samples' MD5 does not fit")
+            return now["doc_id"], now["n_bytes"], reader.length, reader.sha.hexdigest(), zlib.crc32(reader.tail), now["media_bytes"], now["media_sha256"], reader.features()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            for first, held in slices(batch, "media", 2 << 20):
+            kind_of, pcm = batch.column(0).type, batch.column(batch.schema.get_field_index("pcm"))
+            for i, row in enumerate(batch.select(["doc_id", "block_no", "n_samples", "crc_ok", "md5", "media_bytes", "media_sha256", "n_bytes"]).to_pylist()):
+                if row["block_no"] == 0:
+                    if reader:
+                        out.append(ended())
+                    now, reader = row, Reader(unit)
+                piece = pcm[i].as_py()
+                if not row["crc_ok"] or len(piece) != row["n_samples"]:
+                    raise ValueError("a frame's checksum does not fit" if not row["crc_ok"] else "samples have more than 8 bits")
+                reader.add(piece)
+            if out:
+                yield made(out)
                 out = []
-                parts: list[list[bytes]] = [[] for _ in held]
-                for s, _, _, x, fits in decode(held):
-                    if not fits:
-                        raise ValueError("a frame's checksum does not fit")
-                    parts[s].append((x + 128).astype(np.uint8).tobytes())
-                for data, pieces in zip(held, parts, strict=True):
-                    payload = b"".join(pieces)
-                    if hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != frames_of(data)[2]:
-                        raise ValueError("the samples' MD5 does not fit")
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(data), hashlib.sha256(data).hexdigest(), features(payload)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                part = batch.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))], names=names)
-
-    kind = media.schema["doc_id"].dataType.simpleString()
-    picked = media.select("doc_id", "n_bytes", F.col("media"))
-    return picked.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        if reader:
+            yield made([ended()])
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

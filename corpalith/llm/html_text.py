@@ -1,8 +1,12 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks at block-level tags. A block is described by its words and link
-density, those of its neighbours, and by what stands around it. The tree is grown from the small
-labelled table below; it then keeps or drops every block of every page.
+A page is cut into flat blocks at block-level tags. What the page itself declares is taken at its
+word: text inside ``article`` or ``main`` is the article, text inside navigation, footers, asides,
+forms, adverts, notices and readers' comments is not. Every other block - all blocks of a page
+without ``article`` or ``main``, and what stands in an article under a name that only hints at
+furniture - is described by its words and link density and those of the blocks before and after
+it, and a tree grown from the small labelled table below keeps or drops it. Tags and names are no
+inputs of the tree.
 """
 
 from __future__ import annotations
@@ -20,47 +24,61 @@ from corpalith.llm.common import like, slices
 
 #: Elements by their use.
 CHROME = frozenset("nav header footer aside form menu dialog button select fieldset".split())
-UNSEEN = frozenset("script style noscript template iframe svg head title textarea object canvas audio video math".split())
+UNSEEN = frozenset("script style noscript template iframe svg head title textarea object canvas audio video".split())
 MAIN = frozenset("article main".split())
 HOLDERS = frozenset("div section ul ol dl table details figure center body".split())
 BLOCKS = CHROME | MAIN | HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr address figcaption summary html option legend label".split())
-#: Words in a class, id or role that mark what isn't the article.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu sidebar breadcrumb breadcrumbs header masthead "
-    "footer comment comments discussion disqus respond reply replies cookie cookies consent notice notices alert popup modal newsletter subscribe signup "
-    "share sharing social related recommended widget toolbar pagination pager search login copyright contentinfo complementary form".split()
+#: Names (class, id or role) of what isn't the article; of what readers wrote; and of what may be either.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu sidebar breadcrumb breadcrumbs masthead footer "
+    "cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social pagination pager copyright contentinfo complementary".split()
 )
-
-#: Of those the ones that mark what readers wrote.
-READERS = frozenset("comment comments discussion disqus respond reply replies".split())
+READERS = frozenset("comment comments disqus respond replies".split())
+UNSURE = frozenset("header related recommended widget toolbar search login form discussion reply".split())
+#: Parts that leave a name's meaning as it is.
+NEUTRAL = frozenset("left right top bottom site page main box wrapper wrap container content list item items block area section bar inner outer body text link links small large".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
+
+#: What is known of a block before the tree: it isn't the article, it is, or the tree decides.
+OUT, IN, OPEN = range(3)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "main", "page_has_main")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 #: Labelled blocks: the features in order, then 1 for text of the article.
 LABELLED = (
-    (35, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1), (1, 0.0, 40, 0.0, 25, 0.0, 0, 1, 1, 1), (8, 0.0, 6, 0.0, 35, 0.0, 0, 1, 1, 1), (120, 0.05, 80, 0.0, 3, 0.5, 0, 1, 1, 1),
-    (6, 1.0, 45, 0.0, 50, 0.0, 0, 1, 1, 1), (4, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1, 1), (9, 0.0, 1, 1.0, 35, 0.0, 0, 1, 1, 1), (2, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 1),
-    (3, 1.0, 5, 0.0, 4, 1.0, 0, 1, 1, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 1), (5, 0.8, 9, 1.0, 1, 1.0, 0, 1, 1, 1), (1, 1.0, 60, 1.0, 0, 0.0, 0, 1, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (8, 0.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0), (7, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0), (30, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0),
-    (12, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0), (45, 0.1, 20, 0.0, 30, 0.0, 1, 0, 1, 0), (40, 0.0, 60, 0.0, 12, 0.0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0),
-    (20, 0.0, 10, 0.0, 60, 0.0, 0, 0, 1, 0), (5, 0.0, 2, 1.0, 8, 0.0, 0, 0, 1, 0), (60, 0.0, 10, 0.0, 9, 0.0, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 9, 0.0, 0, 0, 1, 0),
-    (40, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (90, 0.1, 9, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (2, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.0, 15, 0.0, 20, 0.0, 0, 0, 0, 1), (30, 0.2, 4, 1.0, 35, 0.0, 0, 0, 0, 1), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (6, 1.0, 4, 1.0, 50, 0.0, 0, 0, 0, 0), (9, 0.9, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 1.0, 70, 0.0, 90, 0.0, 0, 0, 0, 0),
+    (12, 0.0, 1, 1.0, 60, 0.0, 1), (7, 0.0, 8, 0.0, 45, 0.0, 1), (35, 0.0, 9, 0.0, 60, 0.0, 1), (120, 0.05, 80, 0.0, 3, 0.5, 1), (60, 0.0, 35, 0.0, 0, 0.0, 1), (45, 0.1, 20, 0.0, 30, 0.0, 1),
+    (1, 0.0, 40, 0.0, 25, 0.0, 1), (2, 0.0, 30, 0.0, 18, 0.0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 1), (9, 0.0, 35, 0.0, 50, 0.0, 1), (15, 0.0, 15, 0.0, 20, 0.0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 1),
+    (6, 1.0, 45, 0.0, 50, 0.0, 1), (30, 0.2, 4, 1.0, 35, 0.0, 1), (40, 0.0, 60, 0.0, 12, 0.0, 1), (90, 0.1, 9, 0.0, 0, 0.0, 1), (25, 0.3, 30, 0.0, 40, 0.1, 1), (3, 0.0, 70, 0.0, 80, 0.0, 1),
+    (54, 0.0, 0, 0.0, 9, 0.0, 1), (8, 0.0, 0, 0.0, 70, 0.0, 1), (22, 0.0, 2, 1.0, 12, 0.0, 1), (11, 0.0, 28, 0.0, 9, 0.0, 1), (80, 0.0, 2, 1.0, 2, 1.0, 1), (33, 0.1, 0, 0.0, 0, 0.0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0), (6, 1.0, 4, 1.0, 50, 0.0, 0), (2, 1.0, 2, 1.0, 9, 0.0, 0), (8, 0.9, 40, 0.0, 3, 1.0, 0),
+    (3, 1.0, 30, 0.0, 2, 1.0, 0), (5, 0.8, 9, 1.0, 1, 1.0, 0), (12, 0.7, 6, 0.8, 9, 0.9, 0), (6, 1.0, 70, 0.0, 4, 1.0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0), (9, 0.8, 3, 1.0, 0, 0.0, 0), (25, 0.8, 3, 1.0, 4, 1.0, 0),
+    (7, 0.0, 60, 0.0, 0, 0.0, 0), (4, 0.0, 45, 0.0, 0, 0.0, 0), (10, 0.2, 80, 0.0, 0, 0.0, 0), (5, 0.4, 4, 1.0, 0, 0.0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0), (4, 0.0, 1, 1.0, 3, 1.0, 0),
 )
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, linked words, in chrome, in main) of each flat block in page order.
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's names mark furniture, readers' comments, or either."""
+    kinds = [False] * 3
+    for m in _NAMED.findall(attributes):
+        for name in "".join(m).lower().split():
+            parts = set(_PART.findall(name)) - NEUTRAL
+            for i, words in enumerate((FURNITURE, READERS, FURNITURE | READERS | UNSURE)):
+                kinds[i] |= bool(parts) and parts <= words
+    return kinds[0], kinds[1], kinds[2]
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, words, linked words, what is known) of each flat block in page order.
 
     Character references are decoded after cutting, so they never make tags; white space inside a
-    block becomes one space. Markup that is never closed ends with the page.
+    block becomes one space. As in browsers, comments, scripts and styles that are never closed end
+    with the page; other elements that are never closed end where their block does. A name or
+    element that holds the whole article says nothing about it.
     """
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # element, 2 for furniture by its tag or readers' comments, 1 by another hint; main
+    out: list[tuple[str, int, int, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # element; 3 for furniture, 2 for a header, 1 for a name that hints; main
     buffer: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -69,8 +87,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         words = "".join(buffer).split()
         if words:
             main = max((i for i, x in enumerate(stack) if x[2]), default=-1)
-            chrome = any(x[1] == 2 or x[1] and i > main for i, x in enumerate(stack))  # a hint on what holds the article doesn't count
-            out.append((" ".join(words), len(words), min(linked, len(words)), chrome, main >= 0))
+            kinds = [x[1] for x in stack[main + 1 :]]
+            furniture = any(x[1] == 3 and x[0] in CHROME for x in stack) or 3 in kinds or 2 in kinds and main < 0
+            known = OUT if furniture else OPEN if 1 in kinds or main < 0 else IN
+            out.append((" ".join(words), len(words), min(linked, len(words)), known, main >= 0))
         buffer.clear()
         linked = 0
 
@@ -105,7 +125,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if name in UNSEEN:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else at if name in ("head", "title") else len(page)
+                at = end.end() if end else len(page) if name in ("script", "style") else at
             if name in ("head", "title"):
                 flush()
         elif name == "a":
@@ -114,25 +134,25 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             buffer.append(" ")
         elif name in BLOCKS:
             flush()
-            named = {w for m in _NAMED.findall(attributes) for w in _WORD.findall("".join(m).lower())} if attributes else set()
-            kind = 2 if name in CHROME or (named & READERS and name not in ("body", "html")) else int(bool(named & HINTS) and name not in MAIN and name not in ("body", "html"))
+            bare, readers, unsure = _named(attributes) if attributes and name not in ("body", "html") else (False, False, False)
+            whole = name in MAIN and not readers
+            kind = 0 if whole else 3 if readers or bare or name in CHROME - {"header"} else 2 if name == "header" else int(unsure)
             if (name in MAIN or name in HOLDERS or kind) and not attributes.endswith("/"):
                 if name == "p":  # a paragraph ends where the next begins
                     stack[:] = [x for x in stack if x[0] != "p"]
-                stack.append((name, kind, name in MAIN and not named & READERS))
+                stack.append((name, kind, whole))
             elif name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
     flush()
-    return out
+    has_main = any(b[4] for b in out)
+    return [(*b[:3], OUT if has_main and not b[4] else b[3]) for b in out]
 
 
-def described(blocks: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def described(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
     """The features of a page's blocks; a missing neighbour counts as an empty one."""
-    n = len(blocks)
     words = np.array([0, *(b[1] for b in blocks), 0], float)
     density = np.array([0, *(b[2] for b in blocks), 0], float) / np.maximum(words, 1)
-    chrome, main = (np.array([b[k] for b in blocks], float) for k in (3, 4))
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], chrome, main, np.full(n, float(main.any()))])
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
 
 
 def grow(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -174,11 +194,15 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    return "\n".join(b[0] for b, kept in zip(blocks, decide(described(blocks), tree()), strict=True) if kept)
+    known = np.array([b[3] for b in blocks])
+    kept = known == IN
+    if (known == OPEN).any():
+        kept |= (known == OPEN) & decide(described(blocks), tree())
+    return "\n".join(b[0] for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; null and empty pages have an empty text."""
+    """(page_id, url, text, n_chars) of every row, repeated ones too; null and empty pages have an empty text. Other columns don't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.llm import decontaminate, flac, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
-from corpalith.llm.common import dropped, durable, fold, held_out
+from corpalith.llm.common import dropped, durable, fold, held_out, stored
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,10 +28,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.encode_texts(_table(spark, sf_dir, "documents")))
+    """All texts are encoded once to a table; the features are read from the PCM blocks decoded from it."""
+    media = stored(flac.encode_texts(_table(spark, sf_dir, "documents")))
+    return flac.digests(flac.pcm_blocks(media, keep=("n_bytes",)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by rules learned from labelled ones outside fold 2 of 4; null texts count as empty."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learn=fold("id", 4) != 2)
     scored = quality.score(docs, model)
@@ -39,28 +42,34 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that contain a benchmark item; see ``decontaminate.contaminated``."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat or nearly repeat an earlier one; see ``line_dedup.dedup_lines``."""
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned outside fold 2 of 4; texts without letters are ``und``."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=fold("doc_id", 4) != 2)
     return langid.identify(docs, model).select("doc_id", held_out("doc_id", 4), "lang_pred", "score", F.size("mixture").alias("n_langs"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document; see ``mixing.mix``."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard_no", "quota")
 
 
 def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; see ``html_text.extract``."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see ``simhash.near_duplicates``."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 

@@ -72,13 +72,13 @@ def test_signals_and_damage():
 
 def test_media_columns(odd, none):
     media = flac.encode_texts(odd)
-    rows = flac.digests(media).collect()
+    rows = flac.digests(flac.pcm_blocks(media, keep=("n_bytes",))).collect()
     texts = sorted((flac.padded((r.text or "").encode()) for r in odd.select("text").collect()))
     assert sorted(r.payload_sha256 for r in rows) == sorted(hashlib.sha256(t).hexdigest() for t in texts)
     assert sorted(r.tail_crc32 for r in rows) == sorted(zlib.crc32(t[-64:]) for t in texts)
     blocks = flac.pcm_blocks(media).where("doc_id = 6").orderBy("block_no").collect()
     assert b"".join(b.pcm for b in blocks).startswith(b"word0 thing word1") and all(b.crc_ok and b.sample_offset == i * flac.BLOCK for i, b in enumerate(blocks))
-    assert flac.digests(flac.encode_texts(none)).count() == 0
+    assert flac.digests(flac.pcm_blocks(flac.encode_texts(none), keep=("n_bytes",))).count() == 0
 
 
 # Quality
@@ -128,6 +128,19 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_wasted_bits():
+    """A frame by hand: verbatim samples that all end in two zero bits."""
+    x = np.arange(-64, 64, 2) // 4 * 4
+    data = flac.encode([(x + 128).astype(np.uint8).tobytes()])[0]
+    frame = flac.frames_of(data)[0][0]
+    bits = "0" + f"{1:06b}" + "1" + "01" + "".join(f"{v // 4 & 63:06b}" for v in x.tolist())
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    whole = np.frombuffer(data[frame.start : frame.body] + body, np.uint8)
+    sums = int(flac.crc16(whole, np.array([0]), np.array([len(whole)]))[0])
+    (_, _, _, got, fits), = flac.decode([data[: frame.start] + whole.tobytes() + sums.to_bytes(2, "big")])
+    assert fits and got.tolist() == x.tolist()
+
+
 # HTML
 
 
@@ -143,6 +156,37 @@ def test_main_text():
     assert html_text.main_text("<div><p>" + "plain words of a page " * 9 + "</p></div><div class=menu><a>x</a></div>").startswith("plain words")
 
 
+def test_names_and_headers_inside_an_article():
+    """Only whole names mark furniture; a header in an article is its own; unclosed markup costs its block at most, but for scripts."""
+    page = """<article><header><h1>Title</h1></header><div class='social-science'><p>Of society.</p></div><figure class=widget><figcaption>A caption of six words here</figcaption></figure>
+    <section id=discussion><p>What this means.</p></section><div class="ad-banner">Buy</div><p><svg>Kept<p><math><mi>x</mi></math></article>"""
+    assert html_text.main_text(page) == "Title\nOf society.\nA caption of six words here\nWhat this means.\nKept\nx"
+    assert html_text.main_text("<article><p>one</p><script>var x = 1;<p>two</p></article>") == "one"
+
+
+def test_tree_without_declared_articles():
+    """Neighbours and link density decide where no article is declared."""
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(rng.choice(["plain", "words", "of", "a", "page"], n)) + "."
+    right = total = 0
+    for _ in range(60):
+        body = [say(int(n)) for n in rng.integers(12, 90, 8)]
+        links = [f"<li><a href=/{i}>link {i}</a></li>" for i in range(6)]
+        page = f"<body><ul>{''.join(links)}</ul><div id=content><h1>{say(8)}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><ul>{''.join(links)}</ul><div>{say(5)}</div></body>"
+        got = html_text.main_text(page).split("\n")
+        assert not any(g.startswith("link") for g in got)
+        right, total = right + sum(b in got for b in body), total + len(body)
+    assert right == total
+    used = set()
+    nodes = [html_text.tree()]
+    while nodes:
+        node = nodes.pop()
+        if len(node) > 1:
+            used.add(html_text.FEATURES[node[0]])
+            nodes += node[2:]
+    assert {"links", "words_before", "words_after"} <= used
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "<article><p>x</article>", "t"), (2, "u", None, "t"), (None, "u", "", "t"), (1, None, "<article><p>x</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("1", "x", 1), ("1", "x", 1), ("2", "", 0), ("None", "", 0)]
