@@ -52,8 +52,9 @@ LABELLED = (
     (1, 0.0, 40, 0.0, 25, 0.0, 1), (2, 0.0, 30, 0.0, 18, 0.0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 1), (9, 0.0, 35, 0.0, 50, 0.0, 1), (15, 0.0, 15, 0.0, 20, 0.0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 1),
     (6, 1.0, 45, 0.0, 50, 0.0, 1), (30, 0.2, 4, 1.0, 35, 0.0, 1), (40, 0.0, 60, 0.0, 12, 0.0, 1), (90, 0.1, 9, 0.0, 0, 0.0, 1), (25, 0.3, 30, 0.0, 40, 0.1, 1), (3, 0.0, 70, 0.0, 80, 0.0, 1),
     (54, 0.0, 0, 0.0, 9, 0.0, 1), (8, 0.0, 0, 0.0, 70, 0.0, 1), (22, 0.0, 2, 1.0, 12, 0.0, 1), (11, 0.0, 28, 0.0, 9, 0.0, 1), (80, 0.0, 2, 1.0, 2, 1.0, 1), (33, 0.1, 0, 0.0, 0, 0.0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1),
+    (6, 0.0, 2, 0.0, 3, 0.0, 1), (3, 0.0, 6, 0.0, 1, 0.0, 1), (5, 0.0, 4, 0.0, 3, 0.0, 1), (4, 0.0, 12, 0.0, 2, 0.0, 1), (2, 0.0, 2, 0.0, 1, 0.0, 1), (13, 0.0, 40, 0.0, 2, 1.0, 1), (20, 0.0, 15, 0.0, 3, 1.0, 1), (1, 0.0, 25, 0.0, 3, 0.0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0), (6, 1.0, 4, 1.0, 50, 0.0, 0), (2, 1.0, 2, 1.0, 9, 0.0, 0), (8, 0.9, 40, 0.0, 3, 1.0, 0),
-    (3, 1.0, 30, 0.0, 2, 1.0, 0), (5, 0.8, 9, 1.0, 1, 1.0, 0), (12, 0.7, 6, 0.8, 9, 0.9, 0), (6, 1.0, 70, 0.0, 4, 1.0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0), (9, 0.8, 3, 1.0, 0, 0.0, 0), (25, 0.8, 3, 1.0, 4, 1.0, 0),
+    (3, 1.0, 30, 0.0, 2, 1.0, 0), (5, 0.8, 9, 1.0, 1, 1.0, 0), (12, 0.7, 6, 0.8, 9, 0.9, 0), (6, 1.0, 70, 0.0, 4, 1.0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0), (9, 0.8, 3, 1.0, 0, 0.0, 0), (2, 1.0, 90, 0.0, 2, 1.0, 0), (3, 1.0, 48, 0.0, 3, 1.0, 0), (25, 0.8, 3, 1.0, 4, 1.0, 0),
     (7, 0.0, 60, 0.0, 0, 0.0, 0), (4, 0.0, 45, 0.0, 0, 0.0, 0), (10, 0.2, 80, 0.0, 0, 0.0, 0), (5, 0.4, 4, 1.0, 0, 0.0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0), (4, 0.0, 1, 1.0, 3, 1.0, 0),
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.llm import decontaminate, flac, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
-from corpalith.llm.common import dropped, durable, fold, held_out, stored
+from corpalith.llm.common import dropped, durable, fold, held_out
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,8 +28,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts are encoded once to a table; the features are read from the PCM blocks decoded from it."""
-    media = stored(flac.encode_texts(_table(spark, sf_dir, "documents")))
+    """All texts as FLAC streams; the features are read from the PCM blocks that these decode to, a block at a time."""
+    media = flac.encode_texts(_table(spark, sf_dir, "documents"))
     return flac.digests(flac.pcm_blocks(media, keep=("n_bytes",)))
 
 
