@@ -41,7 +41,7 @@ ALONE = 3
 LEAST, GAIN, SMOOTHING = 8, 8.0, 20.0
 #: Least count of a run of words in the broadcast table; its rows, and 64-bit words of a bit table (16 MB), at most.
 LOUD, HOT, BITS = 16, 1_000_000, 1 << 21
-RUN, HELD = 2 << 20, 1 << 21
+RUN, HELD = 3 << 19, 1 << 20
 
 #: The end token's hash stands apart from words: no word is empty.
 _hash = partial(xxhash.xxh64_intdigest, seed=0)
