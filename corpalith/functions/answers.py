@@ -135,8 +135,8 @@ def upload_refusal(size: Column, head: Column, most: int = 20 << 20) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too_large").when(~known, "unsupported_format")
 
 
-#: Names of months by their first letters, and the forms of a date, each with the places of year, month and day.
-_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Months by their first letters, and the forms of a date, each with the places of year, month and day.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = "(january|jan|february|feb|march|mar|april|apr|may|june|jun|july|jul|august|aug|september|sep|october|oct|november|nov|december|dec)"
 _FORMS = (
     (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\s+(\d{{4}})\b", 3, 2, 1), (rf"\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", 3, 1, 2),
@@ -149,7 +149,7 @@ def _date(words: Column) -> Column:
     found = []
     for pattern, year, month, day in _FORMS:
         y, m, d = (F.regexp_extract(words, pattern, i) for i in (year, month, day))
-        number = ((F.instr(F.lit(_STARTS), F.substring(m, 1, 3)) + 2) / 3).cast("int").cast("string") if _MONTH in pattern else m
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(m, 1, 3)).cast("string") if _MONTH in pattern else m
         found.append(F.try_to_date(F.concat_ws("-", y, F.lpad(number, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
     return F.filter(F.array(*found), lambda x: F.year(x).between(1900, 2100))
 

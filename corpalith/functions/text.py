@@ -18,6 +18,11 @@ RERANK_STOP = (
     "the a an of to and or is are was were be been in on for with by from at as this that these those it its our your their we you they what which how do "
     "does did can may"
 ).split()
+#: Words left out of a question before the store is searched.
+SEARCH_STOP = (
+    "the a an of to and or in on for with by from at as is are was were be been this that these those it its our your their we you they what which how do does did can may many much get gets got need needs "
+    "about into over under when where who whom why not no yes if then than there here"
+).split()
 
 WORD = "[a-z0-9]+"
 TERM = "[a-z0-9][a-z0-9'-]*"
@@ -34,6 +39,12 @@ def content_terms(text: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS + ASKING))))
 
 
+def search_terms(text: Column, most: int | None = None) -> Column:
+    """Distinct words of more than two letters without those of ``SEARCH_STOP``, in order of the text; of the first ``most`` words, if given."""
+    words = F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(*SEARCH_STOP))
+    return F.array_distinct(F.slice(words, 1, most) if most else words)
+
+
 def stem(word: Column) -> Column:
     """ies to y, else es or s off, if three letters or more remain."""
 
@@ -63,7 +74,7 @@ def summary(text: Column, least: int = 60, most: int = 300) -> Column:
 
 
 #: What a refusal is about, how it is said, and phrases that need no subject.
-_CORPUS = r"(?i)\b(passages?|documents?|docs?|knowledge ?base|corpus|sources?|excerpts?|content|context|material|records?|articles?)\b"
+_CORPUS = r"(?i)\b(passages?|documents?|docs?|knowledge ?base|corpus|sources?|excerpts?|content|context|material|records?|articles?|retrieved \w+|provided (context|text|documents?|passages?)|(pages?|text|information) (provided|supplied|given|here))\b"
 _ABSENT = r"(?i)\b((do|does|did)(n't| not) (mention|say|state|specify|address|cover|contain|include|provide|indicate|describe|discuss)|(is|are|was|were) not (mentioned|stated|specified|covered|addressed|described|included|discussed))\b"
 _ALONE = r"(?i)\b((could|can) ?not find|couldn't find|cannot find|unable to find|no (information|mention|details?|guidance) (about|on|regarding|for)|nothing (in|about|on) (this|the) (knowledge ?base|corpus|passages?|documents?|page))\b"
 

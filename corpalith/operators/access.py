@@ -50,11 +50,17 @@ def role_allows(rules: list[RoleRule]) -> Column:
     return ~(role_reason(rules).startswith("denied") | role_reason(rules).startswith("outside"))
 
 
-def forbidden(groups: list[str]) -> Column:
-    """Whether none of a principal's groups is on the access list; ``service`` reads everything."""
+def forbidden(groups: list[str], denied: Column | None = None) -> Column:
+    """Whether a principal may not read a document.
+
+    ``service`` reads everything; else a group on the ``denied`` list (an array) is refused; else
+    one must be on the access list. Without an access list nobody else reads.
+    """
     if "service" in groups:
         return F.lit(False)
-    return (F.col("acl") != "all-staff") & ~F.col("acl").isin(*groups) if groups else F.col("acl") != "all-staff"
+    own = F.array(*map(F.lit, groups)) if groups else F.array().cast("array<string>")
+    barred = F.coalesce(F.arrays_overlap(denied, own), F.lit(False)) if denied is not None else F.lit(False)
+    return barred | ~F.coalesce(F.col("acl").isin("all-staff", *groups), F.lit(False))
 
 
 def staleness(age: Column) -> Column:

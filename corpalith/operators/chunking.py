@@ -9,8 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Sizes in estimated tokens (four characters each), runts and overlap in characters.
-TARGET, MOST, RUNT, OVERLAP = 220, 420, 240, 160
+#: Sizes in estimated tokens (four characters each), runts, overlap and parent text in characters.
+TARGET, MOST, RUNT, OVERLAP, PARENT = 220, 420, 240, 160, 3600
 
 _UNSEEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _BLOCK = re.compile(r"<(h[1-6]|p|li|table|pre|blockquote|figcaption)\b[^>]*>(.*?)(?=</\1\s*>|<(?:h[1-6]|p|li|table|pre|blockquote|figcaption)\b|\Z)", re.S | re.I)
@@ -56,11 +56,15 @@ def _tail(text: str) -> str:
     return cut[stop + 2 :] if stop >= 0 else cut[cut.find(" ") + 1 :]
 
 
-def chunk(blocks: list[tuple[str, int, str]]) -> list[tuple[str, str, str]]:
-    """(heading path, text, overlap) of the chunks of a document.
+def chunk(blocks: list[tuple[str, int, str]]) -> list[tuple[str, str, str, str]]:
+    """(heading path, text, overlap, parent text) of the chunks of a document.
 
     Blocks are packed under their heading path up to the target; a block that would pass the most
-    starts a new chunk; tables and code stand alone; short chunks join the one before.
+    starts a new chunk; tables and code stand alone. What is only a heading is no chunk, and the
+    end of a chunk goes with the next of its section. Last, a chunk under ``RUNT`` characters takes
+    the next one in, of whatever section, as long as both stay within six characters a token of the
+    target; the first one's heading path, overlap and parent text stay. The parent text is the
+    section's, ``PARENT`` characters at most.
     """
     sections: list[tuple[str, list[tuple[str, str]]]] = []
     path: list[str] = []
@@ -74,26 +78,24 @@ def chunk(blocks: list[tuple[str, int, str]]) -> list[tuple[str, str, str]]:
             sections[-1][1].append((kind, f"- {text}" if kind == "list_item" else text))
     out: list[list[str]] = []
     for where, parts in sections:
-        held: list[str] = []
-        start = len(out)
-
-        def flush() -> None:
-            if held:
-                over = _tail(out[-1][1]) if len(out) > start else ""  # noqa: B023
-                out.append([where, "\n\n".join(held), over])  # noqa: B023
-                held.clear()  # noqa: B023
-
-        for kind, text in parts:
+        parent = "\n\n".join(text for _, text in parts)[:PARENT]
+        held: list[tuple[str, str]] = []
+        over = ""
+        for place, (kind, text) in enumerate([*parts, ("end", "")]):
             alone = kind in ("table", "code")
-            if held and (alone or sum(map(_size, held)) + _size(text) > MOST):
-                flush()
-            held.append(text)
-            if alone or sum(map(_size, held)) >= TARGET:
-                flush()
-        flush()
+            if held and (alone or kind == "end" or sum(_size(t) for _, t in held) + _size(text) > MOST):
+                if any(k != "heading" for k, _ in held):
+                    out.append([where, "\n\n".join(t for _, t in held), over, parent])
+                    over = _tail(out[-1][1])
+                held = []
+            if place < len(parts):
+                held.append((kind, text))
+            if held and (alone or sum(_size(t) for _, t in held) >= TARGET) and any(k != "heading" for k, _ in held):
+                out.append([where, "\n\n".join(t for _, t in held), over, parent])
+                over, held = _tail(out[-1][1]), []
     merged: list[list[str]] = []
     for c in out:
-        if merged and merged[-1][0] == c[0] and len(merged[-1][1]) < RUNT and len(merged[-1][1]) + len(c[1]) <= TARGET * 6:
+        if merged and len(merged[-1][1]) < RUNT and len(merged[-1][1]) + 2 + len(c[1]) <= TARGET * 6:
             merged[-1][1] += "\n\n" + c[1]
         else:
             merged.append(c)
@@ -101,16 +103,16 @@ def chunk(blocks: list[tuple[str, int, str]]) -> list[tuple[str, str, str]]:
 
 
 def chunks(documents: DataFrame, id_col: str, text_col: str, kind: str = "text") -> DataFrame:
-    """(id, ordinal, heading_path, text, overlap, n_tokens) of every document; null and empty ones have none."""
+    """(id, ordinal, heading_path, text, overlap, parent, n_tokens) of every document; null and empty ones have none."""
     parse = parse_html if kind == "html" else parse_text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(i, n, *c, _size(c[1])) for i, text in zip(frame["id"], frame["text"], strict=True) for n, c in enumerate(chunk(parse(text or "")))]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "heading_path", "text", "overlap", "n_tokens"])
+            yield pd.DataFrame(rows, columns=["id", "ordinal", "heading_path", "text", "overlap", "parent", "n_tokens"])
 
     picked = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
-    return picked.mapInPandas(run, f"id {picked.schema['id'].dataType.simpleString()}, ordinal int, heading_path string, text string, overlap string, n_tokens int")
+    return picked.mapInPandas(run, f"id {picked.schema['id'].dataType.simpleString()}, ordinal int, heading_path string, text string, overlap string, parent string, n_tokens int")
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

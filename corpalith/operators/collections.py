@@ -31,16 +31,17 @@ def descendants(docs: DataFrame, parents: DataFrame) -> DataFrame:
     return above.join(parents.select(F.col("path").alias("parent")).distinct(), "parent").select("parent", "doc_id")
 
 
-def resolve(keys: DataFrame, candidates: dict[str, DataFrame]) -> DataFrame:
-    """(key, doc_id, rung, score, outcome) of ``keys(key)`` over rungs {name: (key, doc_id)}: only the first rung that finds something counts.
+def resolve(keys: DataFrame, rungs: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(key, doc_id, rung, score, outcome) of ``keys(key, ...)`` over rungs {name: (column of keys, (by, n, doc_id))}: only the first rung that finds something counts.
 
-    Accepted from 0.8 if a single document has the best score; ambiguous on ties and from 0.45; else unresolved.
+    ``by`` is unique in a rung, so keys are only looked up. Accepted from 0.8 if a single document
+    has the best score; ambiguous on ties and from 0.45; else unresolved.
     """
-    every = None
-    for order, (rung, found) in enumerate(candidates.items()):
-        rows = found.select(F.col("key").alias("k"), "doc_id", F.lit(rung).alias("rung"), F.lit(order).alias("nth"), F.lit(RUNGS[rung]).alias("score")).distinct()
-        every = rows if every is None else every.union(rows)
-    best = keys.join(every, F.col("key") == F.col("k"), "left").withColumn("first", F.min("nth").over(Window.partitionBy("key")))
-    best = best.where("nth is null or nth = first").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("rung").alias("rung"), F.max("score").alias("score"), F.count("doc_id").alias("n"))
-    outcome = F.when(F.col("n") == 0, "unresolved").when((F.col("score") >= 0.8) & (F.col("n") == 1), "accepted").when(F.col("score") >= 0.45, "ambiguous").otherwise("unresolved")
-    return best.select("key", F.when(outcome == "accepted", F.col("doc_id")).alias("doc_id"), "rung", "score", outcome.alias("outcome"))
+    rows, found = keys, F.lit(None).cast("struct<rung:string,score:double,n:bigint,doc_id:bigint>")
+    for name, (column, held) in reversed(rungs.items()):
+        rows = rows.join(held.select(F.col("by").alias(f"__{name}"), F.struct(F.lit(name).alias("rung"), F.lit(RUNGS[name]).alias("score"), "n", "doc_id").alias(f"__{name}_found")), F.col(column) == F.col(f"__{name}"), "left")
+        found = F.coalesce(F.col(f"__{name}_found"), found)
+    rows = rows.select("key", found.alias("f"))
+    single = F.col("f.n") == 1
+    outcome = F.when(F.col("f").isNull(), "unresolved").when((F.col("f.score") >= 0.8) & single, "accepted").when(F.col("f.score") >= 0.45, "ambiguous").otherwise("unresolved")
+    return rows.select("key", F.when(outcome == "accepted", F.col("f.doc_id")).alias("doc_id"), "f.rung", "f.score", outcome.alias("outcome"))

@@ -66,10 +66,10 @@ def claims_of(text: str) -> list[tuple[str, str, str, list[str]]]:
     text, out = _AGE.sub(" ", text), []
     for m in _QUANTITY.finditer(text):
         value, unit = m["value"].replace(",", ""), (m["unit"] or "").lower()
-        around = sorted(set(re.findall("[a-z]{4,}", text[max(0, m.start() - 120) : m.end() + 120].lower())))
+        around = sorted(set(w for w in re.findall("[a-z]{4,}", text[max(0, m.start() - 120) : m.end() + 120].lower()) if w not in NO_UNIT))
         if m["money"]:
             words = [w for w in re.findall("[a-z]+", text[max(0, m.start() - 80) : m.start()].lower()) if w not in NO_MEASURE]
-            out.append(("currency", " ".join(["currency", *words[-2:]]) if words else "", value, around))
+            out.append(("currency", " ".join(["currency", *words[-2:]]), value, around))
         elif unit and unit not in NO_UNIT and unit not in DATES and not re.fullmatch(r"20\d\d", value):
             words = [w for w in re.findall("[a-z]+", text[m.end() :].lower())[:5] if w not in NO_MEASURE]
             out.append((unit, " ".join([unit, *words[:2]]), value, around))

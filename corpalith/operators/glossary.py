@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Acronyms that are common words or technical noise.
+#: Acronyms that are common words, and technical noise that counts only with an expansion.
 NOT_TERMS = (
     "THE AND FOR ARE BUT NOT YOU ALL ANY CAN HAD HER WAS ONE OUR OUT DAY GET HAS HIM HIS HOW MAN NEW NOW OLD SEE TWO WAY WHO BOY DID ITS LET PUT SAY SHE TOO USE NOTE ONLY THIS THAT WITH FROM WILL EACH WHEN THEY "
-    "THEM THAN THEN BEEN MUST POST PUT GET DELETE PATCH HEAD JSON HTML XML CSV UTF ASCII"
+    "THEM THAN THEN BEEN MUST"
 ).split()
+NOISE = "POST PUT GET DELETE PATCH HEAD JSON HTML XML CSV UTF ASCII".split()
 #: A name before its acronym in brackets, an acronym before its name, and an acronym alone.
 BEFORE = r"(?U)\b((?:[A-Z][A-Za-z'-]+\s+){1,6}[A-Z][A-Za-z'-]+)\s*\(([A-Z]{3,6})s?\)"
 AFTER = r"(?U)\b([A-Z]{3,6})s?\s*\(((?:[A-Za-z'-]+\s+){1,6}[A-Za-z'-]+)\)"
@@ -31,7 +32,7 @@ def discover(docs: DataFrame) -> DataFrame:
     named = both.groupBy("term").agg(F.min(F.struct("doc_id", "name")).alias("first")).select(F.col("term").alias("nt"), F.col("first.name").alias("expansion"))
     held = docs.select("doc_id", F.explode(pick(ACRONYM, 1)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     use = held.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).where(~F.col("term").isin(*NOT_TERMS))
-    out = use.join(named, F.col("term") == F.col("nt"), "left").where(F.col("expansion").isNotNull() | (F.col("documents") >= MIN_FREQUENT))
+    out = use.join(named, F.col("term") == F.col("nt"), "left").where(F.col("expansion").isNotNull() | ((F.col("documents") >= MIN_FREQUENT) & ~F.col("term").isin(*NOISE)))
     method = F.when(F.col("expansion").isNotNull(), "expansion").otherwise("frequency")
     sure = F.when(method == "expansion", SURE["expansion"]).otherwise(SURE["frequency"]) + F.least(F.lit(0.1), F.col("documents") * 0.02)
     return out.select("term", "expansion", method.alias("method"), "documents", "occurrences", F.round(sure, 4).alias("confidence"))

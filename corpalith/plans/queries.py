@@ -211,12 +211,22 @@ def y1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("r"), "text").select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query()
+_SUBJECT = f"list_filter(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(q, '{T.SCOPE.replace(chr(39), chr(39) * 2)}', ' ', 'g')), '{T.TERM.replace(chr(39), chr(39) * 2)}'), lambda w: length(w) > 2)), lambda w: w NOT IN ({_strings(T.STOP_WORDS + T.ASKING)}))"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS q FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN q = '' THEN 'content' WHEN regexp_matches(q, '{T.SOCIAL.replace(chr(39), chr(39) * 2)}') THEN 'social' WHEN regexp_matches(q, '{T.SCOPE.replace(chr(39), chr(39) * 2)}') AND len({_SUBJECT}) <= 1 THEN 'scope' ELSE 'content' END AS kind FROM a""")
 def f20_question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.question_kind(F.col("text")).alias("kind"))
 
 
-@query()
+def _declines(column: str) -> str:
+    """``declines`` in SQL: sentences are marked off first, as there is no look-behind."""
+    alone, absent, corpus = (x.replace("'", "''") for x in (T._ALONE, T._ABSENT, T._CORPUS))
+    return f"len(list_filter(string_split(regexp_replace(coalesce({column}, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '{alone}') OR (regexp_matches(s, '{absent}') AND regexp_matches(s, '{corpus}')))) > 0"
+
+
+@query(f"SELECT conv_id, turn, {_declines('text')} AS declines FROM conversations WHERE role = 'assistant'")
 def f22_declines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.declines(F.col("text")).alias("declines"))
 
@@ -244,14 +254,18 @@ def t1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.knn(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-_ASKED = f"""asked AS (SELECT item_id AS question_id, unnest(list_slice(list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '{T.TERM.replace("'", "''")}'), lambda w: length(w) > 2)), lambda w: w NOT IN ({_strings(T.STOP_WORDS + T.ASKING)}))), 1, 12)) AS term FROM benchmark)"""
-_LEXICAL = f"""{CATALOGUE_SQL}, {_ASKED},
+def _channel(slice_of: str) -> str:
+    """The lexical channel as common table expressions; ``slice_of`` wraps the words of a question."""
+    return f"""{CATALOGUE_SQL}, asked AS (SELECT DISTINCT item_id AS question_id, unnest({slice_of.format(f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_strings(T.SEARCH_STOP)}))")}) AS term FROM benchmark),
 words AS (SELECT doc_id, length(text) AS n, lower(title) AS title, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM catalogue),
 counted AS (SELECT question_id, doc_id, term, count(*) AS c, any_value(n) AS n, bool_or(contains(title, term)) AS titled FROM words JOIN asked USING (term) GROUP BY question_id, doc_id, term),
 scored AS (SELECT question_id, doc_id, round(sum(c) / (1 + any_value(n) / 5000) * CASE WHEN bool_or(titled) THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM counted GROUP BY question_id, doc_id),
 lexical AS (SELECT question_id, doc_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20)"""
 
 
+_LEXICAL = _channel("list_slice({}, 1, 12)")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -261,10 +275,17 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_LEXICAL} SELECT * FROM lexical")
-def t4_lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t3_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's search: the terms among a question's first twelve words."""
     return _lexical(spark, sf_dir)
 
 
+@query(f"WITH {_channel('{}')} SELECT * FROM lexical")
+def t4_lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline variant: all terms of a question."""
+    return ranking.lexical(_catalogue(spark, sf_dir), _questions(spark, sf_dir), 20, None)
+
+
 _FUSED = """recent AS (SELECT question_id, doc_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY coalesce(age_days, 100000), doc_id) AS INTEGER) AS rank FROM lexical JOIN catalogue USING (doc_id)),
 fused AS (SELECT question_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS channels FROM (SELECT question_id, doc_id, rank FROM lexical UNION ALL SELECT question_id, doc_id, rank FROM recent) GROUP BY question_id, doc_id)"""
 
@@ -296,9 +317,14 @@ reranked AS (SELECT question_id, doc_id, passage, rank, round(least(1.0::DOUBLE,
   + CASE WHEN contains(array_to_string(words, ' '), array_to_string(asked, ' ')) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_intersect(wanted, head)) > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rerank_score FROM hits)"""
 
 
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _lexical(spark, sf_dir).select("question_id", "doc_id", "rank")
+    return ranking.rerank(hits, _questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(f"WITH {_PAIRS} SELECT question_id, doc_id, rank, rerank_score FROM reranked")
 def r1_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rerank(_pairs(spark, sf_dir)).select("question_id", "doc_id", "rank", "rerank_score")
+    return _reranked(spark, sf_dir).select("question_id", "doc_id", "rank", "rerank_score")
 
 
 @query(f"""WITH {_PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rank) AS place FROM reranked),
@@ -306,9 +332,10 @@ good AS (SELECT * FROM ranked WHERE rerank_score >= 0.08 AND trim(passage) <> ''
 firsts AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY question_id, array_to_string(regexp_extract_all(lower(passage), '[a-z0-9]+'), ' ') ORDER BY place) = 1)
 SELECT question_id, doc_id, rerank_score AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY place) AS INTEGER) AS marker FROM firsts QUALIFY marker <= 12""")
 def w4_selected_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.rerank(_pairs(spark, sf_dir))
-    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rerank_score").desc(), "rank")))
-    picked = ranking.select_passages(ranked.select("question_id", "doc_id", "passage", F.col("rerank_score").alias("score"), F.col("place").alias("rank")), 0.08)
+    ranked = _reranked(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rerank_score").desc(), "rank")))
+    same = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.when(F.trim("text") != "", F.md5(F.array_join(T.tokens(F.col("text")), " "))).alias("same"))
+    ranked = ranked.join(same, F.col("doc_id") == F.col("d"))
+    picked = ranking.select_passages(ranked.select("question_id", "doc_id", "same", F.col("rerank_score").alias("score"), F.col("place").alias("rank")), 0.08)
     return picked.select("question_id", "doc_id", "score", "marker")
 
 
@@ -481,20 +508,34 @@ def j18_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CO.descendants(docs, parents)
 
 
-@query()
+_X13 = """WITH pages_n AS (SELECT page_id, url AS key, %s AS normal FROM pages), p AS (SELECT *, string_split(normal, '?')[1] AS path FROM pages_n WHERE key IS NOT NULL),
+keys AS (SELECT DISTINCT key, normal, path FROM p),
+rungs AS (SELECT key, page_id, 0 AS nth FROM p WHERE page_id %% 3 = 0
+  UNION SELECT k.key, p.page_id, 1 FROM keys k JOIN p USING (normal) WHERE page_id %% 3 <> 2 UNION SELECT k.key, p.page_id, 2 FROM keys k JOIN p ON k.path = p.path WHERE page_id %% 2 = 0),
+best AS (SELECT key, min(nth) AS nth FROM rungs GROUP BY key),
+held AS (SELECT key, b.nth, count(DISTINCT page_id) AS n, min(page_id) AS page_id FROM best b JOIN rungs r USING (key) WHERE r.nth = b.nth GROUP BY key, b.nth)
+SELECT key, CASE WHEN n = 1 THEN page_id END AS doc_id, ['exact', 'alias', 'path'][nth + 1] AS rung, [1.0, 0.95, 0.85][nth + 1]::DOUBLE AS score, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'accepted' ELSE 'ambiguous' END AS outcome
+FROM keys LEFT JOIN held USING (key)"""
+_URL = f"""CASE WHEN url IS NULL THEN NULL ELSE {_HOST} || regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') ||
+  CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({_strings(U.TRACKING)}))) > 0
+    THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({_strings(U.TRACKING)}))), '&') ELSE '' END END"""
+
+
+@query(_X13 % _URL)
 def x13_resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.normalise(F.col("url")).alias("normal"))
-    keys = pages.select(F.col("url").alias("key")).distinct()
-    own = pages.select(F.col("url").alias("key"), "normal")
-    rungs = {
-        "exact": pages.where("page_id % 3 = 0").select(F.col("url").alias("key"), F.col("page_id").alias("doc_id")),
-        "alias": own.join(pages.where("page_id % 3 <> 2").select("normal", F.col("page_id").alias("doc_id")), "normal").select("key", "doc_id"),
-        "path": own.select("key", F.substring_index("normal", "?", 1).alias("p")).join(pages.where("page_id % 2 = 0").select(F.substring_index("normal", "?", 1).alias("p"), F.col("page_id").alias("doc_id")), "p").select("key", "doc_id"),
-    }
+    """Each rung's documents are counted by what they are found by before keys meet them, so a shared path makes one row a key."""
+    pages = table(spark, sf_dir, "pages").where("url is not null").select("page_id", "url", U.normalise(F.col("url")).alias("normal"))
+    pages = pages.withColumn("path", F.substring_index("normal", "?", 1))
+    keys = pages.select(F.col("url").alias("key"), "normal", "path").distinct()
+    held = lambda rows, by: rows.groupBy(F.col(by).alias("by")).agg(F.count_distinct("page_id").alias("n"), F.min("page_id").alias("doc_id"))
+    rungs = {"exact": ("key", held(pages.where("page_id % 3 = 0"), "url")), "alias": ("normal", held(pages.where("page_id % 3 <> 2"), "normal")), "path": ("path", held(pages.where("page_id % 2 = 0"), "path"))}
     return CO.resolve(keys, rungs)
 
 
-@query()
+@query(f"""WITH a AS (SELECT conv_id, turn, text AS answer, NOT ({_declines('text')}) AS grounded, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS loose, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '\\s+', ' ', 'g')) AS first FROM conversations WHERE role = 'assistant'),
+k AS (SELECT * FROM (VALUES ('answers', ''), ('refuses', ''), ('cites_something', ''), ('says', 'the'), ('does_not_say', 'idiot'), ('cites_first', 'the')) v(kind, value))
+SELECT conv_id, turn, kind, CASE WHEN kind = 'answers' AND NOT grounded THEN 'refused' WHEN kind = 'refuses' AND grounded THEN 'answered' WHEN kind = 'cites_first' AND NOT contains(first, value) THEN 'not first'
+  WHEN kind = 'says' AND NOT contains(loose, value) THEN 'not said' WHEN kind = 'does_not_say' AND contains(loose, value) THEN 'said' END AS failure FROM a, k""")
 def x24_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"), (~T.declines(F.col("text"))).alias("grounded"), F.array(F.substring_index("text", " ", 2)).alias("cited"))
     wanted = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in (("answers", ""), ("refuses", ""), ("cites_something", ""), ("says", "the"), ("does_not_say", "idiot"), ("cites_first", "the"))))

@@ -84,7 +84,7 @@ summed AS (SELECT question_id, doc_id, round(1.0::DOUBLE / (60 + rerank_rank) +
 SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rerank_rank) <= 16""")
 def v7_second_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen best by the ranks of the channel and of the reranker together."""
-    placed = ranking.rerank(Q._pairs(spark, sf_dir)).withColumn("rerank_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rerank_score").desc(), "rank")))
+    placed = Q._reranked(spark, sf_dir).withColumn("rerank_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rerank_score").desc(), "rank")))
     scored = placed.select("question_id", "doc_id", F.round(1 / (60 + F.col("rerank_rank")) + 1 / (60 + F.col("rank")), 6).alias("score"), "rerank_rank")
     best = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc(), "rerank_rank"))
     return scored.withColumn("best", best).where("best <= 16").drop("best")

@@ -105,7 +105,7 @@ def test_roles_and_gates(spark):
 def test_text(spark):
     assert one(spark, T.stem, "policies", "boxes", "cats", "ies", "was") == ["policy", "box", "cat", "ies", "was"]
     assert one(spark, T.question_kind, "Hello!", "What can you tell me about surveys", "what can you tell me about survey budgets in detail per region", "", None) == ["social", "scope", "content", "content", "content"]
-    assert one(spark, T.declines, "The passages do not mention it.", "The policy does not cover flood damage.", "I could not find anything.", "It is fine. The documents describe the rest.", None) == [True, False, True, False, False]
+    assert one(spark, T.declines, "The passages do not mention it.", "The policy does not cover flood damage.", "I could not find anything.", "It is fine. The documents describe the rest.", None, "The information provided does not say.") == [True, False, True, False, False, True]
     assert one(spark, T.content_terms, "Tell me how the refund-policy works for it") == [["refund-policy", "works"]]
     assert one(spark, T.sensitive_classes, "a@b.co and +1 (168) 555-5254", "token = \"dfd1944d2e84f15e\"") == [["email", "phone"], ["secret"]]
     assert one(spark, T.redacted, "a@b.co!") == ["[email]!"]
@@ -125,12 +125,17 @@ def test_urls(spark):
 def test_ranking(spark):
     fused = ranking.fuse(spark.createDataFrame([(1, "a", 5, 1), (1, "b", 5, 2), (1, "a", 6, 2), (1, "b", 7, 1)], "question_id int, channel string, doc_id int, rank int"))
     assert [(r.doc_id, r.rank) for r in fused.orderBy("rank").collect()] == [(5, 1), (7, 2), (6, 3)]
-    pairs = spark.createDataFrame([("the refund window", "refund window is long"), ("the refund window", "nothing here"), ("the of", "x")], "question string, passage string")
-    assert [r.rerank_score for r in ranking.rerank(pairs).collect()][1:] == [0.0, 0.0]
+    asked = spark.createDataFrame([(1, "the refund window"), (2, "the of"), (3, "window refund")], "question_id int, text string")
+    docs = spark.createDataFrame([(7, "refund window is long\nfor a refund"), (8, "nothing here"), (9, None)], "doc_id int, text string")
+    hits = spark.createDataFrame([(q, d) for q in (1, 2, 3) for d in (7, 8, 9)], "question_id int, doc_id int")
+    got = {(r.question_id, r.doc_id): r.rerank_score for r in ranking.rerank(hits, asked, docs).collect()}
+    held = 0.55 + 0.15 * min(1, 2 / (1 + 6 / 120)) + 0.15 * 3 / 7 + 0.15  # 2 of 6 words, at 3 of 7 places, and in the first line
+    assert got == {(1, 7): min(1, round(held + 0.25, 6)), (3, 7): round(held, 6)} | {(q, d): 0.0 for q in (1, 2, 3) for d in (7, 8, 9) if (q, d) not in ((1, 7), (3, 7))}
+    assert [r.doc_id for r in ranking.lexical(docs.withColumn("title", F.lit("a Refund")), asked, 5).where("question_id = 1").collect()] == [7]
     good = ranking.grounded(spark.createDataFrame([("refund policies", "our policy on refunds"), ("the", "x"), ("flood damage", "fire")], "question string, evidence string")).collect()
     assert [(r.coverage, r.covered) for r in good] == [(1.0, True), (1.0, True), (0.0, False)]
-    ranked = spark.createDataFrame([(1, d, p, 0.5, i) for i, (d, p) in enumerate([(1, "a"), (1, "A!"), (1, "b"), (1, "c"), (1, "d"), (2, " "), (2, "e")])], "question_id int, doc_id int, passage string, score double, rank int")
-    assert [(r.doc_id, r.passage) for r in ranking.select_passages(ranked, 0.1).orderBy("marker").collect()] == [(1, "a"), (1, "b"), (1, "c"), (2, "e")]
+    ranked = spark.createDataFrame([(1, d, p, 0.5, i) for i, (d, p) in enumerate([(1, "a"), (1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, None), (2, "e")])], "question_id int, doc_id int, same string, score double, rank int")
+    assert [(r.doc_id, r.same) for r in ranking.select_passages(ranked, 0.1).orderBy("marker").collect()] == [(1, "a"), (1, "b"), (1, "c"), (2, "e")]
 
 
 def test_changes(spark):
@@ -149,7 +154,12 @@ def test_chunks(spark):
     blocks = chunking.parse_html(page)
     assert [b[0] for b in blocks] == ["heading", "paragraph", "heading", "paragraph", "table", "paragraph"]
     got = chunking.chunk(blocks)
-    assert [c[0] for c in got][:2] == ["A", "A > B"] and got[-1][1].endswith("tail & end")
+    assert got[0][:2] == ("A", "# A\n\none") and [c[0] for c in got[1:]] == ["A > B"] * (len(got) - 1) and got[-1][1].endswith("tail & end")
+    assert chunking.chunk([("heading", 1, "A"), ("heading", 2, "B"), ("paragraph", 0, "text")]) == [("A > B", "## B\n\ntext", "", "## B\n\ntext")]  # a heading alone is no chunk
+    steps = [x for i in range(3) for x in (("heading", 2, f"Step {i}"), ("paragraph", 0, f"Do {i}."))]
+    assert [c[:2] for c in chunking.chunk(steps)] == [("Step 0", "## Step 0\n\nDo 0.\n\n## Step 1\n\nDo 1.\n\n## Step 2\n\nDo 2.")]  # runts merge across headings
+    long = [("heading", 1, "H"), *(("paragraph", 0, "word " * 150) for _ in range(4))]
+    assert [bool(c[2]) for c in chunking.chunk(long)] == [False, True] and all(c[3].startswith("# H") and len(c[3]) <= 3600 for c in chunking.chunk(long))
     docs = spark.createDataFrame([(1, "p one\n\np two"), (2, None), (3, "")], "doc_id long, text string")
     a = sorted(map(tuple, chunking.chunks(docs, "doc_id", "text").collect()))
     assert a == sorted(map(tuple, chunking.chunks(docs.repartition(3), "doc_id", "text").collect())) and [r[0] for r in a] == [1]
@@ -188,9 +198,9 @@ def test_evidence(spark):
 
 
 def test_url_ladder(spark):
-    frame = lambda rows: spark.createDataFrame(rows, "key string, doc_id long")
+    frame = lambda rows: ("key", spark.createDataFrame(rows, "by string, n long, doc_id long"))
     keys = spark.createDataFrame([(k,) for k in "abcd"], "key string")
-    got = {r.key: (r.doc_id, r.rung, r.outcome) for r in CO.resolve(keys, {"exact": frame([("a", 1), ("b", 1), ("b", 2)]), "title": frame([("a", 9), ("c", 3)])}).collect()}
+    got = {r.key: (r.doc_id, r.rung, r.outcome) for r in CO.resolve(keys, {"exact": frame([("a", 1, 1), ("b", 2, 1)]), "title": frame([("a", 1, 9), ("c", 1, 3)])}).collect()}
     assert got == {"a": (1, "exact", "accepted"), "b": (None, "exact", "ambiguous"), "c": (None, "title", "ambiguous"), "d": (None, None, "unresolved")}
 
 
