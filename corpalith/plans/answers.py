@@ -84,7 +84,7 @@ def x16_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = "'It says ' || coalesce(nullif(regexp_extract(text, '[0-9][0-9,]*'), ''), 'none') || ' [page]. ' || CASE doc_id % 3 WHEN 0 THEN 'There are ' || n_chars || ' [d1].' WHEN 1 THEN 'In all ' || n_chars || ' [2].' ELSE 'No mark: ' || n_chars || '.' END"
 
 
-@query(f"""WITH a AS (SELECT doc_id, n_chars, {_SAID} AS said, list_transform(regexp_extract_all(text, '-?\\d[\\d,]*(?:\\.\\d+)?'), lambda x: regexp_replace(replace(x, ',', ''), '(\\.\\d*?)0+$|\\.$', '\\1')) AS known FROM documents)
+@query(f"""WITH a AS (SELECT doc_id, n_chars, {_SAID} AS said, list_transform(regexp_extract_all(text, '-?\\d[\\d,]*(?:\\.\\d+)?'), lambda x: regexp_replace(replace(x, ',', ''), '(\\.\\d*?)0+$|\\.$', '\\1')) AS known FROM documents),
 b AS (SELECT *, regexp_extract(said, 'It says ([0-9][0-9,]*)', 1) AS f FROM a),
 c AS (SELECT *, f <> '' AND NOT list_contains(known, replace(f, ',', '')) AS page_gone, doc_id % 3 = 0 AND NOT list_contains(known, CAST(n_chars AS VARCHAR)) AS data_gone FROM b)
 SELECT doc_id, list_filter([CASE WHEN page_gone THEN 'It says ' || f || ' [page].' END, CASE WHEN data_gone THEN 'There are ' || n_chars || ' [d1].' END], lambda x: x IS NOT NULL) AS removed,
