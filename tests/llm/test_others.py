@@ -101,6 +101,39 @@ def test_quality_on_held_out_rows(spark):
     assert again == model and 0 < len(model.rules) < 100
 
 
+def test_counts_match_counting_by_hand():
+    import unicodedata
+
+    texts = ["", " \t\n", "One TWO three three\nÄpfel 12,5 % #!", "ß x💡 a\u00a0b\u2028c", "w" * 70 + "\n\n"]
+    for text, row in zip(texts, quality.count_texts([t.encode() for t in texts]).tolist(), strict=True):
+        words = text.encode().split()
+        space = [c for c in text if c in " \t\n\v\f\r"]
+        symbols = [c for c in text if c not in space and unicodedata.category(c)[0] not in "LNZ" and c not in ".,;:'’()-"]
+        upper = [c for c in text if "A" <= c <= "Z" or c in "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŸ"]
+        assert row == [len(words), len(set(words)), max((len(w.decode()) for w in words), default=0), len(text), len(space), len(upper), sum("0" <= c <= "9" for c in text), len(symbols), text.count("\n") + 1]
+
+
+def test_compiled_rules_match_the_model(spark):
+    """The column expression against the rules applied one by one; and the lasso against its own conditions."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, len(quality.STATS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5) | (x[:, 5] > 1)).astype(float)
+    model = quality.fit_rules(x, y)
+    assert 0 < len(model.rules) < 60
+    want = []
+    for row in x:
+        total = model.bias
+        for parts, weight in model.rules:
+            if all((row[quality.STATS.index(n)] > c) == above for n, above, c in parts):
+                total += weight
+        want.append(1 / (1 + math.exp(-total)))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in quality.STATS))
+    got = [r.s for r in rows.select("id", model.score().alias("s")).orderBy("id").collect()]
+    assert got == pytest.approx(want)
+    assert np.mean((np.array(want) > 0.5) == (y == 1)) > 0.95
+    assert len(quality.fit_rules(x, y, lasso=0.05).rules) < len(model.rules)
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (9, 0), (None, 1), (3, None), (5, 0)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
@@ -141,6 +174,44 @@ def test_wasted_bits():
     assert fits and got.tolist() == x.tolist()
 
 
+def test_language_sets_match_brute_force():
+    """Shares and sets by plain loops: each set grown by the best single language first, then by the shares of all."""
+    rng = np.random.default_rng(11)
+    langs = ["aa", "bb", "cc", "dd"]
+    logp = np.log(rng.dirichlet(np.full(64, 0.3), 4).T + 1e-4)
+    logp -= np.log(np.exp(logp).sum(0))
+    model = langid.Model(langs, logp.astype(np.float32))
+
+    def em(p, count, share):
+        for _ in range(langid.ROUNDS):
+            joint = p * share
+            joint *= (count / joint.sum(1))[:, None]
+            new = np.maximum(joint.sum(0) / count.sum(), 1e-12)
+            moved, share = np.abs(new - share).max(), new
+            if moved < langid.SETTLED:
+                break
+        return share, float((count * np.log((p * share).sum(1))).sum())
+
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, n)) for n in (3, 20, 80, 200)]
+    for text in texts:
+        _, bucket, count = langid.trigrams([text.encode()], 64)
+        p, count = np.exp(model.logp[bucket].astype(float)), count.astype(float)
+        share, _ = em(p, count, np.full(4, 0.25))
+        single = (np.log(p) * count[:, None]).sum(0)
+        first, fee = int(single.argmax()), langid.PENALTY * math.log(count.sum() + 1)
+        order = [first, *(j for j in np.argsort(-share, kind="stable").tolist() if j != first)]
+        best, value = {first: 1.0}, single[first] - fee
+        for m in range(2, 5):
+            mixed, likelihood = em(p, count, np.where(np.isin(np.arange(4), order[:m]), 1 / m, 1e-12))
+            if likelihood - m * fee <= value:
+                break
+            best, value = {j: mixed[j] for j in order[:m]}, likelihood - m * fee
+        (lang, score, mixture), = model.predict([text.encode()])
+        assert lang == langs[max(best, key=lambda j: best[j])] and score == pytest.approx(max(best.values()), abs=0.02)
+        assert {x for x, s in mixture if s > 1e-3} == {langs[j] for j, s in best.items() if s > 1e-3}
+
+
 # HTML
 
 
