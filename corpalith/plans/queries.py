@@ -136,9 +136,16 @@ def j2_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CATALOGUE_SQL}, sized AS (SELECT doc_id, space, n_bytes, sum(n_bytes) OVER (PARTITION BY space ORDER BY doc_id) AS upto, row_number() OVER (PARTITION BY space ORDER BY doc_id) AS nth FROM catalogue) SELECT doc_id, space, CASE WHEN nth > 100 THEN 'max_documents' WHEN upto > 100000 THEN 'max_bytes' END AS capped FROM sized")
 def y5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = Window.partitionBy("space").orderBy("doc_id")
-    rows = _catalogue(spark, sf_dir).select("doc_id", "space", F.sum("n_bytes").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(line).alias("nth"))
-    return rows.select("doc_id", "space", F.when(F.col("nth") > 100, "max_documents").when(F.col("upto") > 100_000, "max_bytes").alias("capped"))
+    """Running totals in two steps, so no task reads a whole space: totals of ranges of ids, then inside each range."""
+    rows = _catalogue(spark, sf_dir).select("doc_id", "space", "n_bytes", F.floor(F.col("doc_id") / 10_000).alias("range"))
+    totals = rows.groupBy("space", "range").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("space").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("space").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
+    line = Window.partitionBy("space", "range").orderBy("doc_id")
+    inside = rows.withColumn("upto", F.sum("n_bytes").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(line))
+    inside = inside.join(totals, F.col("space").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    nth, upto = F.col("nth") + F.col("n0"), F.col("upto") + F.col("b0")
+    return inside.select("doc_id", "space", F.when(nth > 100, "max_documents").when(upto > 100_000, "max_bytes").alias("capped"))
 
 
 # Sources, field maps, facets
