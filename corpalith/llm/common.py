@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from functools import reduce
 from uuid import uuid4
@@ -56,11 +57,14 @@ def dropped(table: DataFrame) -> None:
 def spare(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files and checkpoints of tables that are no longer referred to.
 
-    The scheduler refers to the last job until it has seen another.
+    The scheduler refers to the last job until it has seen another, and the bridge to the JVM lets go
+    of what Python has dropped only once a second.
     """
     spark.range(1).count()
     gc.collect()
+    time.sleep(1.5)
     spark._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def small(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
