@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpalith.llm import decontaminate, flac, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
+from corpalith.llm import decontaminate, flac, funnel, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
 from corpalith.llm.common import dropped, durable, fold, held_out
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: The tables hold no list of unwanted URLs: the canonical URLs whose MD5 starts with this digit stand in for one, in any input.
 LISTED = "0"
+#: The funnels of the funnel query.
+FUNNELS = (
+    funnel.Funnel("A", ("view", "click", "view", "purchase"), "error"),
+    funnel.Funnel("B", ("signup", "view", "click", "purchase"), "error"),
+    funnel.Funnel("C", ("click", "click", "purchase", "view"), "signup"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +88,14 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 7), "n_tokens", "n_known", F.lit(lm.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three funnels over all clicks; see ``funnel.count_funnels``."""
+    return funnel.count_funnels(_table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree)
+    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree, op11_funnels)
 }
 
 _TRACKING = ", ".join(f"'{t}'" for t in url_filter.TRACKING)
@@ -147,5 +158,29 @@ left_over AS (
   FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.line_no = g.line_no GROUP BY e.doc_id)
 SELECT d.doc_id, CASE WHEN o.n > 0 THEN o.text ELSE d.text END AS text, CAST(coalesce(o.n, 0) AS INTEGER) AS n_lines_dropped
 FROM documents d LEFT JOIN left_over o USING (doc_id)
+""",
+    "op11_funnels": f"""
+WITH seen AS (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+later AS (
+  SELECT client_id, kind, t, {", ".join(f"min(t) FILTER (kind = '{k}') OVER after AS {k}" for k in ("view", "click", "purchase", "error", "signup"))}
+  FROM seen WINDOW after AS (PARTITION BY client_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+funnels AS (SELECT * FROM (VALUES {", ".join(f"('{f.name}', {list(f.steps)}, '{f.excluded}')" for f in FUNNELS)}) v(funnel, steps, excluded)),
+hops AS (
+  SELECT funnel, step, client_id, t, CASE steps[step + 1] WHEN 'view' THEN view WHEN 'click' THEN click WHEN 'purchase' THEN purchase END AS upcoming,
+    CASE excluded WHEN 'error' THEN error ELSE signup END AS bar
+  FROM funnels, (VALUES (1), (2), (3)) s(step), later WHERE kind = steps[step]),
+s1 AS (SELECT funnel, client_id, t AS t1, upcoming, bar FROM hops WHERE step = 1),
+{", ".join(f"""r{k} AS (SELECT *, upcoming AS t{k} FROM s{k - 1} WHERE upcoming <= t1 + 1800000000 AND (bar IS NULL OR bar > upcoming)),
+s{k} AS (SELECT r.* EXCLUDE (upcoming, bar), h.upcoming, h.bar FROM r{k} r JOIN hops h ON h.funnel = r.funnel AND h.client_id = r.client_id AND h.step = {k} AND h.t = r.t{k})""" for k in (2, 3))},
+r4 AS (SELECT *, upcoming AS t4 FROM s3 WHERE upcoming <= t1 + 1800000000 AND (bar IS NULL OR bar > upcoming)),
+took AS (
+  SELECT funnel, client_id, 1 AS step, NULL::BIGINT AS took FROM s1
+  UNION ALL SELECT funnel, client_id, 2, t2 - t1 FROM r2 UNION ALL SELECT funnel, client_id, 3, t3 - t2 FROM r3 UNION ALL SELECT funnel, client_id, 4, t4 - t3 FROM r4),
+steps AS (SELECT funnel, client_id, step, count(*) AS n, list_sort(list(took))[(90 * count(*) + 99) // 100] AS tk FROM took GROUP BY ALL),
+wide AS (
+  SELECT funnel, client_id, {", ".join(f"CAST(coalesce(max(n) FILTER (step = {k}), 0) AS BIGINT) AS n{k}" for k in (1, 2, 3, 4))}, CAST(max(step) AS INTEGER) AS deepest,
+    {", ".join(f"max(tk) FILTER (step = {k}) AS t{k}" for k in (2, 3, 4))}
+  FROM steps GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM wide
 """,
 }
