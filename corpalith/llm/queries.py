@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpalith.llm import decontaminate, flac, funnel, html_text, langid, line_dedup, mixing, quality, simhash, suffix_lm, url_filter
-from corpalith.llm.common import dropped, durable, fold, held_out
+from corpalith.llm import decontaminate, flac, funnel, html_text, langid, line_dedup, merkle, mixing, quality, simhash, suffix_lm, url_filter
+from corpalith.llm.common import ascii_lower, dropped, durable, fold, held_out
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -93,13 +93,29 @@ def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.count_funnels(_table(spark, sf_dir, "clicks"), FUNNELS)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents; of each fifth, by its id's crc32, a text with A-Z lower-cased is shown. See ``merkle.manifest``."""
+    text = F.when(fold("doc_id", 5) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), {"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree, op11_funnels)
+    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree, op11_funnels, op12_merkle)
 }
 
 _TRACKING = ", ".join(f"'{t}'" for t in url_filter.TRACKING)
 
+
+def _leaf_sql(text: str) -> str:
+    values = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n))"
+_UP = "list_transform(range(0, len(l), 16), lambda i: sha256(array_to_string(l[i + 1:i + 16], '')))"
+_SIDES = "array_to_string(l[p // 16 * 16 + 1:p], '') AS lft, array_to_string(l[p + 2:p // 16 * 16 + 16], '') AS rgt"
+
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH cut AS (
@@ -182,5 +198,35 @@ wide AS (
     {", ".join(f"max(tk) FILTER (step = {k}) AS t{k}" for k in (2, 3, 4))}
   FROM steps GROUP BY ALL)
 SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM wide
+""",
+    "op12_merkle": f"""
+WITH RECURSIVE crcs AS (SELECT {_CRC_TABLE} AS tbl),
+hit AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: xor(crc >> 8, tbl[(xor(crc, b) & 255) + 1]), 4294967295::BIGINT)) % 5 = 0 AS shows FROM documents, crcs),
+leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN shows THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS shown FROM hit),
+placed AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+lower_tree AS (
+  SELECT source, 0 AS lvl, list(leaf ORDER BY pos) AS l FROM placed GROUP BY source
+  UNION ALL SELECT source, lvl + 1, {_UP} FROM lower_tree WHERE len(l) > 1),
+subroots AS (SELECT source, l[1] AS subroot, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM lower_tree WHERE len(l) = 1),
+upper_tree AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY pos) AS l FROM subroots
+  UNION ALL SELECT lvl + 1, {_UP} FROM upper_tree WHERE len(l) > 1),
+steps AS (
+  SELECT rid, lvl AS k, {_SIDES} FROM (SELECT rid, lvl, l, pos >> (4 * lvl) AS p FROM placed x JOIN lower_tree t ON x.source IS NOT DISTINCT FROM t.source WHERE len(l) > 1)
+  UNION ALL
+  SELECT rid, k, {_SIDES} FROM (
+    SELECT rid, height + lvl AS k, l, s.pos >> (4 * lvl) AS p FROM placed x JOIN subroots s ON x.source IS NOT DISTINCT FROM s.source, upper_tree WHERE len(l) > 1)),
+folds AS (
+  SELECT rid, 0 AS k, shown AS node FROM placed
+  UNION ALL SELECT f.rid, f.k + 1, sha256(lft || node || rgt) FROM folds f JOIN steps s ON f.rid = s.rid AND f.k = s.k),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(lft || rgt, '' ORDER BY k), '')) AS proof_sha256 FROM placed LEFT JOIN steps USING (rid) GROUP BY rid),
+whole AS (SELECT l[1] AS root FROM upper_tree WHERE len(l) = 1),
+ends AS (SELECT rid, arg_max(node, k) AS folded_root FROM folds GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM placed x JOIN subroots s ON x.source IS NOT DISTINCT FROM s.source JOIN proofs USING (rid) JOIN ends USING (rid), whole
 """,
 }
