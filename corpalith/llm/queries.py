@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpalith.llm import decontaminate, flac, funnel, html_text, langid, line_dedup, merkle, mixing, quality, simhash, suffix_lm, url_filter
+from corpalith.llm import chat, decontaminate, flac, funnel, html_text, langid, line_dedup, merkle, mixing, quality, simhash, suffix_lm, url_filter
 from corpalith.llm.common import ascii_lower, dropped, durable, fold, held_out
 
 #: The rules of the URL query.
@@ -99,9 +99,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), {"text": text})
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back; see ``chat.digests``."""
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    return chat.digests(talks.union(odd))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree, op11_funnels, op12_merkle)
+    for f in (op1_url_filter, op2_flac_media, op3_quality_rules, op4_decontaminate, op5_line_dedup, op6_language_mixture, op7_mix_sources, op8_html_blocks, op9_simhash_tiles, op10_suffix_tree, op11_funnels, op12_merkle, op13_chat)
 }
 
 _TRACKING = ", ".join(f"'{t}'" for t in url_filter.TRACKING)
@@ -228,5 +235,20 @@ whole AS (SELECT l[1] AS root FROM upper_tree WHERE len(l) = 1),
 ends AS (SELECT rid, arg_max(node, k) AS folded_root FROM folds GROUP BY rid)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM placed x JOIN subroots s ON x.source IS NOT DISTINCT FROM s.source JOIN proofs USING (rid) JOIN ends USING (rid), whole
+""",
+    "op13_chat": r"""
+WITH talks AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, v.t, v.r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+sized AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|OUT\]|ROLE:|/ROLE\])', '\1\\\2\3', 'g'))
+    + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 13
+      ELSE 23 + length(replace(replace(replace(replace(role, '%', '%25'), ']', '%5D'), '<', '%3C'), '[', '%5B')) END AS chars
+  FROM talks)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, NULL::BIGINT AS rewritten_at
+FROM sized GROUP BY conv_id
 """,
 }
