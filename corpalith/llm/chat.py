@@ -17,6 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpalith.llm.common import like
 
@@ -231,17 +232,18 @@ def formatted(conversations: DataFrame, template: Template = TAGGED, window: int
     what it had written before; such a part has no spans. See ``digests`` for nulls and ties.
     """
     rows = _in_order(conversations)
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    kind = rows.schema["conv_id"].dataType
+    conv_type = to_arrow_type(kind)
     spans = pa.list_(pa.struct([("role", pa.string()), *((c, pa.int64()) for c in Turn._fields[1:])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, messages in _by_conversation(_conversations(batches)):
             for part, (text, turns, rewritten) in enumerate(windows(messages, template, window, overlap)):
-                columns = [pa.array([conv]), pa.array([part], pa.int32()), pa.array([text]), pa.array([[t._asdict() for t in turns]], spans), pa.array([rewritten], pa.int64())]
+                columns = [pa.array([conv], conv_type), pa.array([part], pa.int32()), pa.array([text]), pa.array([[t._asdict() for t in turns]], spans), pa.array([rewritten], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "part", "text", "turns", "rewritten_at"])
 
     turn = "struct<role string, start bigint, end bigint, text_start bigint, text_end bigint>"
-    return rows.mapInArrow(run, f"conv_id {kind}, part int, text string, turns array<{turn}>, rewritten_at long")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, part int, text string, turns array<{turn}>, rewritten_at long")
 
 
 def digests(conversations: DataFrame, template: Template = TAGGED, learned: tuple[str, ...] = ("assistant",), window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -259,22 +261,18 @@ def digests(conversations: DataFrame, template: Template = TAGGED, learned: tupl
     kind = rows.schema["conv_id"].dataType
     roles = frozenset(learned)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten_at"]
-    types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[_Digest] = []
 
         def flush() -> pa.RecordBatch:
             values = zip(*((d.conv, d.n_turns, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars, d.rewritten) for d in done), strict=True)
-            columns = [pa.array(v, t) if t else pa.array(v, conv_type) for v, t in zip(values, types, strict=True)]
+            columns = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
             done.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        first = next(batches, None)
-        if first is None:
-            return
-        conv_type = first.column(0).type
-        for conv, messages in _by_conversation(_conversations(_chain(first, batches))):
+        for conv, messages in _by_conversation(_conversations(batches)):
             digest = _Digest(conv)
             for text, turns, rewritten in windows(messages, template, window, overlap):
                 digest.add(text, turns, rewritten, template, roles)
@@ -286,7 +284,3 @@ def digests(conversations: DataFrame, template: Template = TAGGED, learned: tupl
 
     return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long")
 
-
-def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield first
-    yield from rest
