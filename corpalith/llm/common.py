@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +28,31 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Shuffle files go when the job that wrote them ends, instead of when the driver's garbage happens to be collected.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _alone(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a query of its own, whose shuffle files are removed as soon as it has run. What it gives is kept elsewhere, so they are of no more use."""
+    spark = df.sparkSession
+    before = spark.conf.get(LET_GO, None)
+    spark.conf.set(LET_GO, "true")
+    try:
+        yield df.select("*")
+    finally:
+        spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _alone(df) as own:
+        return own.checkpoint()
+
+
+#: The folders of ``stored`` tables.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame, options: dict[str, int] | None = None) -> DataFrame:
@@ -41,32 +62,21 @@ def stored(df: DataFrame, options: dict[str, int] | None = None) -> DataFrame:
     ``dropped`` takes it away again.
     """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.options(**{k: str(v) for k, v in (options or {}).items()}).option("compression", "none").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(table: DataFrame) -> None:
-    """Delete a ``stored`` table that nothing reads any more."""
-    spark = table.sparkSession
-    paths = {name.rpartition("/")[0] for name in table.inputFiles() if "/table-" in name}
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with _alone(df) as own:
+        own.write.options(**{k: str(v) for k, v in (options or {}).items()}).option("compression", "none").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(table))
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spare(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files and checkpoints of tables that are no longer referred to.
-
-    The scheduler refers to the last job until it has seen another, and the bridge to the JVM lets go
-    of what Python has dropped only once a second.
-    """
-    spark.range(1).count()
-    gc.collect()
-    time.sleep(1.5)
-    spark._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def small(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
     """``df`` marked for broadcast if ``rows``, its counted size, of ``width`` bytes each, come to ``BROADCAST_BYTES`` or less."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df

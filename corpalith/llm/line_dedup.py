@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import dropped, durable, hot_join, like, small, spare, stored
+from corpalith.llm.common import dropped, durable, hot_join, like, small, stored
 
 MIN_WORDS = 6
 
@@ -121,23 +121,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     exact repeats only, those under ``exact_words``, blank lines, and lines of rows with a null id or
     text not at all. Repeated rows (same id and text) are one document.
     """
-    hashed = durable(line_keys(docs, id_col, text_col, min_words, min(min_words, exact_words)))
+    hashed = stored(line_keys(docs, id_col, text_col, min_words, min(min_words, exact_words)))
     place = F.struct("id", "th", "line_no")
     halves = [f"half{i}" for i in range(4)]
     grouped = hashed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in halves))
-    unique = durable(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
+    unique = stored(grouped.select("h", "first", (F.col("first") < F.col("last")).alias("repeated"), *halves))
 
     partnered = _with_partner(unique.where("half0 is not null").select("h", F.explode(F.array(*halves)).alias("key"))).select(F.col("h").alias("ph")).distinct()
     firsts = unique.join(partnered, F.col("h") == F.col("ph"), "left_semi").select("h", "first")
-    wanted = durable(firsts.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("lines")))
-    spare(docs.sparkSession)
+    wanted = stored(firsts.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("first.line_no", "h", "first")).alias("lines")))
     texts = _matching(like(docs, id_col, text_col), wanted, id_col, text_col, "inner")
     texts = texts.select(F.split(f"row.`{text_col}`", "\n").alias("ls"), F.explode("lines").alias("x"))
     texts = texts.select("x.h", "x.first", F.element_at("ls", F.col("x.line_no") + 1).alias("line"))
-    chosen = durable(_normal(texts, F.col("line"), "h", "first").select("h", "first", F.split("text", " ").alias("words")).dropDuplicates(["h"]))
+    chosen = stored(_normal(texts, F.col("line"), "h", "first").select("h", "first", F.split("text", " ").alias("words")).dropDuplicates(["h"]))
     n = F.size("words")
     hashes = chosen.select("h", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("ws"))
     keys = F.concat(F.array(F.xxhash64("ws")), F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: _without(F.col("ws"), j)))
+    dropped(wanted)
     variants = stored(hashes.select("h", "n", F.posexplode(keys).alias("j", "key")))
     replaced = F.struct(F.xxhash64("key", "n", "j").alias("key"), F.lit(0).alias("side"))
     shorter = F.struct(F.xxhash64("key", F.col("n"), F.lit(-1)).alias("key"), F.lit(1).alias("side"))
@@ -150,13 +150,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = hot_join(met, least, [("key", "k")]).select("h", "first", other.alias("o")).where("o.first < first").select("h", F.col("o.h").alias("oh")).distinct()
     texts = chosen.select("h", "words")
     near = pairs.join(texts, "h").join(texts.toDF("oh", "owords"), "oh").where(within_one_edit(F.col("words"), F.col("owords")))
-    near = durable(near.select(F.col("h").alias("nh")).distinct())
-    dropped(variants)
-    spare(docs.sparkSession)
+    near = stored(near.select(F.col("h").alias("nh")).distinct())
+    dropped(variants, chosen)
 
     flagged = unique.join(near, unique.h == near.nh, "left").where("nh is not null or repeated").select(F.col("h").alias("rh"), "first", F.col("nh").isNotNull().alias("near"))
     out = hot_join(hashed.select("h", place.alias("place"), "id", "th", "line_no"), flagged, [("h", "rh")])
-    return out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how"))
+    out = stored(out.where("near or first < place").select("id", "th", "line_no", F.when(F.col("first") < F.col("place"), "exact").otherwise("near").alias("how")))
+    dropped(hashed, unique, near)
+    return out
+
+
+def _without_lines(text: Column, lines: Column) -> Column:
+    """The lines of a text but for those numbered in ``lines``, an ordered array: the stretches between these, so the work grows with the text alone."""
+
+    def stretches(every: Column) -> Column:
+        def stretch(j: Column) -> Column:
+            before = F.when(j > 0, F.get(lines, j - 1)).otherwise(-1)
+            after = F.when(j < F.size(lines), F.get(lines, j)).otherwise(F.size(every))
+            return F.slice(every, before + 2, after - before - 1)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines)), stretch))
+
+    # As a variable the split text is made once, not for each stretch.
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), stretches), 1)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
@@ -166,9 +182,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unchanged. A document that only repeats others is left with an empty text. An input column
     named ``n_lines_dropped`` is replaced; no other name has a meaning.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words, exact_words).groupBy("id", "th").agg(F.collect_set("line_no").alias("lines"))
-    joined = _matching(docs, durable(gone), id_col, text_col, "left")
+    repeats = repeated_lines(docs, id_col, text_col, min_words, exact_words)
+    gone = durable(repeats.groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
+    dropped(repeats)
+    joined = _matching(docs, gone, id_col, text_col, "left")
     text = F.col(f"row.`{text_col}`")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("lines", i)), "\n")
+    kept = F.array_join(_without_lines(text, F.col("lines")), "\n")
     columns = [F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_lines_dropped"]
     return joined.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines_dropped"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, like, slices, spare, stored
+from corpalith.llm.common import dropped, like, slices, stored
 
 DEPTH = 5
 #: Levels up to this one are counted one by one; from it on repeats are long, and one pass counts the rest.
@@ -297,29 +297,35 @@ class LM:
 def fit(tokens: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, smoothing: float = SMOOTHING, most: int = BITS) -> LM:
     """Learn from every row of ``tokens`` (of ``tokenise``) that is to be learned from. Without any, the model is the root alone."""
     train = tokens.where("learn")
-    words = durable(_words(train))
+    words = stored(_words(train))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     counted = words.where(F.col("n") >= least)
     known = counted.select("gram", "n", F.log((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("lnq"))
     tables, values, states = [bit_table(counted.select("gram"), most)], [], []
+    parts, counts = [words], []
     for level in range(1, depth + 1):
         if level <= ALONE:
-            counts = durable(_count_levels(train, tables, level if level < ALONE else depth, least, total))
-        grams = counts.where(F.col("level") == level)
+            counts.append(stored(_count_levels(train, tables, level if level < ALONE else depth, least, total)))
+        grams = counts[-1].where(F.col("level") == level)
         # A run counts if the run without its first word is one of a state, so states' suffixes are states.
         rows = grams.join(known.select(F.col("gram").alias("s"), F.col("lnq").alias("lnp")), F.col("suf") == F.col("s"))
         rows = rows.join(counted.select(F.col("gram").alias("c"), F.col("n").alias("cn")), F.col("ctx") == F.col("c"))
         own = (F.col("n") + smoothing * F.exp("lnp")) / (F.col("cn") + smoothing)
-        rows = durable(rows.select("gram", "ctx", "n", "cn", "lnp", F.log(own).alias("lnq")))
-        spare(tokens.sparkSession)
+        rows = stored(rows.select("gram", "ctx", "n", "cn", "lnp", F.log(own).alias("lnq")))
+        if len(counts) > 1:  # nothing reads the counts of the level below any more
+            dropped(counts.pop(0))
         sums = rows.groupBy("ctx").agg(F.first("cn").alias("cn"), F.sum(F.exp("lnq")).alias("q"), F.sum(F.exp("lnp")).alias("p"), F.sum("n").alias("used"), F.sum(F.col("n") * (F.col("lnq") - F.col("lnp"))).alias("own"))
         rest = F.log(F.greatest(1 - F.col("q"), F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9)))
         kept = sums.select(F.col("ctx").alias("state"), "cn", rest.alias("rest"), F.col("own"), F.col("used")).where(F.col("own") + (F.col("cn") - F.col("used")) * F.col("rest") >= gain)
-        kept = durable(kept.select("state", "cn", "rest"))
+        kept = stored(kept.select("state", "cn", "rest"))
         states.append(kept.count())
+        parts.append(kept)
         if not states[-1]:
+            dropped(rows)
             break
-        held = durable(rows.join(kept.select("state", "rest"), F.col("ctx") == F.col("state")).select("gram", "n", "lnq", (F.col("lnq") - F.col("lnp") - F.col("rest")).alias("val")))
+        held = stored(rows.join(kept.select("state", "rest"), F.col("ctx") == F.col("state")).select("gram", "n", "lnq", (F.col("lnq") - F.col("lnp") - F.col("rest")).alias("val")))
+        dropped(rows)
+        parts.append(held)
         values += [held.select("gram", "n", "val"), kept.select(F.col("state").alias("gram"), F.col("cn").alias("n"), F.col("rest").alias("val"))]
         known, counted = held.select("gram", "n", "lnq"), grams.select("gram", "n")
         if level < min(depth, ALONE):
@@ -327,8 +333,8 @@ def fit(tokens: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     every = words.select("gram", "n", F.lit(0.0).alias("val"), F.col("n").alias("c"))
     for part in values:
         every = every.union(part.select("gram", "n", "val", F.lit(None).cast("long")))
-    merged = durable(every.groupBy("gram").agg(F.max("n").alias("n"), F.sum("val").alias("val"), F.max("c").alias("c")))
-    spare(tokens.sparkSession)
+    merged = stored(every.groupBy("gram").agg(F.max("n").alias("n"), F.sum("val").alias("val"), F.max("c").alias("c")))
+    dropped(*counts, *parts)
     return LM(merged, total, distinct, states)
 
 
@@ -350,7 +356,6 @@ def score(tokens: DataFrame, lm: LM, hot: int = HOT, most: int = BITS) -> DataFr
 
     ``base_score`` is the unigram model's log10 probability, ``score`` the tree's.
     """
-    spare(tokens.sparkSession)
     sc = tokens.sparkSession.sparkContext
     top = _hottest(lm.values, hot).select("gram", "val", F.coalesce("c", F.lit(0)).alias("c")).toArrow()
     keys = top["gram"].to_numpy().view(np.uint64)
