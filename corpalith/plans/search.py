@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpalith.functions import text as T
+from corpalith.operators import postings as P
 from corpalith.operators import vectors as V
+from corpalith.plans import queries as Q
 from corpalith.plans.queries import SQL, query
-from corpalith.sources.corpus import table
+from corpalith.sources.corpus import CATALOGUE_SQL, table
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[V.Index | None, DataFrame]:
@@ -30,3 +34,73 @@ def v3_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without misses: lists that may still hold a nearer vector follow the probed ones."""
     index, queries = _indexed(spark, sf_dir)
     return V.exact(index, queries, 20) if index else _none(spark)
+
+
+# Full-text ranks
+
+
+def _stems_sql(words: str) -> str:
+    """Common table expressions that end with ``stems(term, stem)`` of the column ``term`` of ``words``."""
+    steps = [f"w0 AS (SELECT DISTINCT term, term AS stem FROM ({words}))"]
+    for i, step in enumerate(P.rules()):
+        cases = " ".join(f"WHEN regexp_matches(stem, '{pattern}') THEN regexp_replace(stem, '{pattern}', '\\1{becomes}')" for pattern, becomes in step)
+        steps.append(f"w{i + 1} AS (SELECT term, CASE WHEN length(term) < 3 THEN stem {cases} ELSE stem END AS stem FROM w{i})")
+    return ", ".join([*steps, f"stems AS (SELECT term, stem FROM w{len(P.STEPS)})"])
+
+
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+def _found_sql(field: str, asked: str) -> str:
+    """``asked(question_id, nth, stem)`` of the words that ``asked`` lists, and ``places(question_id, doc_id, stem, place)`` of their stems in a field."""
+    return f"""{CATALOGUE_SQL}, words AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT doc_id, {_WORDS.format(field)} AS w FROM catalogue)),
+listed AS (SELECT question_id, unnest(w) AS term, unnest(range(len(w))) AS nth FROM (SELECT item_id AS question_id, {asked} AS w FROM benchmark)),
+{_stems_sql("SELECT term FROM words UNION ALL SELECT term FROM listed")},
+asked AS (SELECT question_id, nth, stem FROM listed JOIN stems USING (term)), sizes AS (SELECT question_id, count(DISTINCT stem) AS size FROM asked GROUP BY question_id),
+places AS (SELECT q.question_id, doc_id, q.stem, place FROM (SELECT DISTINCT question_id, stem FROM asked) q JOIN stems USING (stem) JOIN words USING (term))"""
+
+
+def _search_terms(most: int) -> str:
+    stops = ", ".join(f"'{w}'" for w in T.SEARCH_STOP)
+    return f"list_slice(list_filter({_WORDS.format('text')}, lambda w: length(w) > 2 AND w NOT IN ({stops})), 1, {most})"
+
+
+@query(f"""WITH {_found_sql("title || ' ' || path", _search_terms(12))},
+counted AS (SELECT question_id, doc_id, stem, least(count(*), {P.PLACES}) AS n FROM places GROUP BY ALL),
+scored AS (SELECT question_id, doc_id, round(sum(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j)))) * {P.PLAIN}::DOUBLE / {P.LIMIT}::DOUBLE / any_value(size), 6) AS score
+  FROM counted JOIN sizes USING (question_id) GROUP BY question_id, doc_id)
+SELECT question_id, doc_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20""")
+def x32_full_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's own search: titles and paths that have any stem of a question, by how many and how often."""
+    index = Q._postings(spark, sf_dir)
+    asked = P.asked_words(index, Q._questions(spark, sf_dir), 12)
+    sizes = P.stemmed(Q._questions(spark, sf_dir).select("question_id", F.explode(T.search_terms(F.col("text"), 12)).alias("word")), "word")
+    return P.top(P.any_rank(P.matched(index, asked, P.HEAD), sizes), 20)
+
+
+@query(f"""WITH {_found_sql("text", _search_terms(3))},
+lasts AS (SELECT a.question_id, a.doc_id, a.place, b.stem, max(b.place) AS last FROM places a JOIN places b ON a.question_id = b.question_id AND a.doc_id = b.doc_id AND b.place <= a.place GROUP BY ALL),
+ends AS (SELECT question_id, doc_id, place, min(last) AS start, any_value(size) AS size FROM lasts JOIN sizes USING (question_id) GROUP BY question_id, doc_id, place HAVING count(*) = any_value(size)),
+stretches AS (SELECT question_id, doc_id, start, min(place) - start + 1 AS length, any_value(size) AS size FROM ends GROUP BY question_id, doc_id, start)
+SELECT question_id, doc_id, CAST(count(*) AS INTEGER) AS covers, CAST(min(length) AS INTEGER) AS tightest, round(sum(size::DOUBLE / length), 6) AS score FROM stretches GROUP BY question_id, doc_id""")
+def x32_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold all stems of a question's first three search terms, by how close together these stand."""
+    index, questions = Q._postings(spark, sf_dir), Q._questions(spark, sf_dir)
+    asked = P.asked_words(index, questions, 3)
+    sizes = P.stemmed(questions.select("question_id", F.explode(T.search_terms(F.col("text"), 3)).alias("word")), "word")
+    return P.covers(P.matched(index, asked, P.BODY), sizes)
+
+
+@query(f"""WITH {_found_sql("text", f"list_slice({_WORDS.format('text')}, 1, 3)")},
+begins AS (SELECT DISTINCT p.question_id, doc_id, nth, place - nth AS start FROM places p JOIN asked a ON a.question_id = p.question_id AND a.stem = p.stem),
+lengths AS (SELECT question_id, count(*) AS size FROM asked GROUP BY question_id),
+whole AS (SELECT question_id, doc_id, start FROM begins JOIN lengths USING (question_id) GROUP BY question_id, doc_id, start HAVING count(*) = any_value(size))
+SELECT question_id, doc_id, count(*) AS n FROM whole GROUP BY question_id, doc_id""")
+def x32_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which a question's first three words, by their stems, stand side by side."""
+    index = Q._postings(spark, sf_dir)
+    first = F.slice(T.tokens(F.col("text")), 1, 3)
+    listed = P.stemmed(Q._questions(spark, sf_dir).select("question_id", F.posexplode(first).alias("nth", "word")), "word").select("question_id", "nth", "stem")
+    known = index.words.select("term", F.col("stem").alias("s"))
+    words = listed.select("question_id", "stem").distinct().join(known, F.col("stem") == F.col("s")).select("question_id", "stem", "term")
+    return P.phrases(P.matched(index, words, P.BODY), listed)
