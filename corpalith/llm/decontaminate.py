@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpalith.llm.common import durable, like, small
+from corpalith.llm.common import BROADCAST_BYTES, durable, hot_join, like, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -81,14 +81,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     met = probes.join(small(sketch.select("item_id", "need", "hash"), held), "hash").where("n >= need")
     pairs = durable(met.select("doc_id", "item_id").distinct())
 
-    texts = like(items, item_col, item_text).toDF("item_id", "item_text").where("item_id is not null").distinct()
     # The words are a column of their own: inside the shingles' lambda they would be split again for every shingle.
-    texts = texts.select("item_id", tokens(F.coalesce("item_text", F.lit(""))).alias("words")).select("item_id", shingle_texts(F.col("words"), k).alias("wanted"))
+    texts = like(items, item_col, item_text).toDF("item_id", "item_text").where("item_id is not null").distinct()
+    texts = texts.select("item_id", F.xxhash64("item_text").alias("item_th"), tokens(F.coalesce("item_text", F.lit(""))).alias("words"))
+    wanted = texts.select("item_id", "item_th", shingle_texts(F.col("words"), k).alias("wanted")).select("item_id", "item_th", F.size("wanted").alias("q"), F.explode("wanted").alias("want"))
+    wide = wanted.agg(F.coalesce(F.sum(F.octet_length("want") + 48), F.lit(0))).first()[0]
     found = pairs.select("doc_id").distinct()
     picked = picked.join(small(found.withColumnRenamed("doc_id", "hit_id"), found.count()), F.col("doc_id") == F.col("hit_id"), "left_semi")
-    have = picked.distinct().select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", shingle_texts(F.col("words"), k).alias("have"))
-    wide = texts.agg(F.coalesce(F.sum(F.aggregate("wanted", F.lit(0), lambda s, x: s + F.octet_length(x) + 24)), F.lit(0))).first()[0]
-    checked = have.join(pairs.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id") == F.col("hit_id")).drop("hit_id").join(small(texts, 1, wide), "item_id")
-    checked = checked.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_shingles"), F.size(F.array_intersect("wanted", "have")).cast("long").alias("n_shared"))
-    checked = checked.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
+    have = picked.distinct().select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).select("doc_id", "th", F.explode(shingle_texts(F.col("words"), k)).alias("have"))
+    # A shingle of a document meets the items that have it: rows grow with what is shared, and no document is copied for an item.
+    shared = have.join(small(wanted, 1, wide), F.col("have") == F.col("want")) if wide <= BROADCAST_BYTES else hot_join(have, wanted, [("have", "want")])
+    counted = shared.groupBy("doc_id", "th", "item_id", "item_th").agg(F.first("q").alias("q"), F.count("*").alias("n_shared")).where(F.col("n_shared") >= F.ceil(F.col("q") * F.lit(threshold) - 1e-9))
+    counted = counted.join(pairs.toDF("p_doc", "p_item"), (F.col("doc_id") == F.col("p_doc")) & (F.col("item_id") == F.col("p_item")), "left_semi")
+    checked = counted.select("doc_id", "item_id", F.col("q").cast("long").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
     return checked.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
