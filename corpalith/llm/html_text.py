@@ -1,12 +1,13 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks at block-level tags. What the page itself declares is taken at its
-word: text inside ``article`` or ``main`` is the article, text inside navigation, footers, asides,
-forms, adverts, notices and readers' comments is not. Every other block - all blocks of a page
-without ``article`` or ``main``, and what stands in an article under a name that only hints at
-furniture - is described by its words and link density and those of the blocks before and after
-it, and a tree grown from the small labelled table below keeps or drops it. Tags and names are no
-inputs of the tree.
+A page is cut into flat blocks at block-level tags. Each block is described by its words and link
+density, those of the blocks before and after it, and by its place, which is what the page declares
+of it: in an ``article`` or ``main``; outside of the one that the page has; in navigation, footers,
+asides, forms, adverts, notices or readers' comments; or nothing. A tree grown from the small
+labelled table below decides every block. The labels are those of blocks of which nothing is
+declared, as pages without ``article`` have them; where a place is declared, the same blocks have
+its label, for a one-word paragraph of an article and an advert of prose differ in nothing else. What
+can never be text (scripts, styles, the head, form controls' contents) makes no blocks.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
-#: What is known of a block before the tree: it isn't the article, it is, or the tree decides.
-OUT, IN, OPEN = range(3)
+#: What a page declares of a block: it is furniture, it is outside of the page's article, nothing (or only a name that hints), it is in the article.
+FURNISHED, OUTSIDE, UNSAID, INSIDE = range(4)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
-#: Labelled blocks: the features in order, then 1 for text of the article.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
+#: Labelled blocks of which nothing is declared: the features in order but for the place, then 1 for text of the article.
 LABELLED = (
     (12, 0.0, 1, 1.0, 60, 0.0, 1), (7, 0.0, 8, 0.0, 45, 0.0, 1), (35, 0.0, 9, 0.0, 60, 0.0, 1), (120, 0.05, 80, 0.0, 3, 0.5, 1), (60, 0.0, 35, 0.0, 0, 0.0, 1), (45, 0.1, 20, 0.0, 30, 0.0, 1),
     (1, 0.0, 40, 0.0, 25, 0.0, 1), (2, 0.0, 30, 0.0, 18, 0.0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 1), (9, 0.0, 35, 0.0, 50, 0.0, 1), (15, 0.0, 15, 0.0, 20, 0.0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 1),
@@ -71,7 +72,7 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words, linked words, what is known) of each flat block in page order.
+    """(text, words, linked words, place) of each flat block in page order.
 
     Character references are decoded after cutting, so they never make tags; white space inside a
     block becomes one space. As in browsers, comments, scripts and styles that are never closed end
@@ -90,8 +91,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             main = max((i for i, x in enumerate(stack) if x[2]), default=-1)
             kinds = [x[1] for x in stack[main + 1 :]]
             furniture = any(x[1] == 3 and x[0] in CHROME for x in stack) or 3 in kinds or 2 in kinds and main < 0
-            known = OUT if furniture else OPEN if 1 in kinds or main < 0 else IN
-            out.append((" ".join(words), len(words), min(linked, len(words)), known, main >= 0))
+            place = FURNISHED if furniture else UNSAID if 1 in kinds or main < 0 else INSIDE
+            out.append((" ".join(words), len(words), min(linked, len(words)), place, main >= 0))
         buffer.clear()
         linked = 0
 
@@ -146,14 +147,14 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
                 stack.pop()
     flush()
     has_main = any(b[4] for b in out)
-    return [(*b[:3], OUT if has_main and not b[4] else b[3]) for b in out]
+    return [(*b[:3], OUTSIDE if has_main and not b[4] and b[3] != FURNISHED else b[3]) for b in out]
 
 
 def described(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
     """The features of a page's blocks; a missing neighbour counts as an empty one."""
     words = np.array([0, *(b[1] for b in blocks), 0], float)
     density = np.array([0, *(b[2] for b in blocks), 0], float) / np.maximum(words, 1)
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b[3] for b in blocks]])
 
 
 def grow(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -175,9 +176,11 @@ def grow(x: np.ndarray, y: np.ndarray) -> tuple:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    """The tree of the labelled table."""
+    """The tree of the labelled table, in all places."""
     rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    x, y = rows[:, :-1], rows[:, -1]
+    labels = {FURNISHED: 0 * y, OUTSIDE: 0 * y, UNSAID: y, INSIDE: 0 * y + 1}
+    return grow(np.vstack([np.column_stack([x, np.full(len(x), place)]) for place in labels]), np.concatenate(list(labels.values())))
 
 
 def decide(x: np.ndarray, node: tuple) -> np.ndarray:
@@ -195,10 +198,7 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    known = np.array([b[3] for b in blocks])
-    kept = known == IN
-    if (known == OPEN).any():
-        kept |= (known == OPEN) & decide(described(blocks), tree())
+    kept = decide(described(blocks), tree())
     return "\n".join(b[0] for b, keep in zip(blocks, kept, strict=True) if keep)
 
 

@@ -1,7 +1,9 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -235,6 +237,72 @@ def test_names_and_headers_inside_an_article():
     assert html_text.main_text("<article><p>one</p><script>var x = 1;<p>two</p></article>") == "one"
 
 
+class Plain(HTMLParser):
+    """An extraction by itself: the text inside ``article`` that is in no furniture, a line for each block."""
+
+    FURNITURE = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "small", "u", "img", "mark", "q", "cite", "br"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.held, self.depth, self.skipped = [], [], 0, []
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        line = " ".join("".join(self.held).split())
+        self.lines += [line] * bool(line)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.held += [" "] * (tag == "br")
+        if tag not in self.INLINE:
+            self.cut()
+        self.depth += tag == "article"
+        named = {w for k, v in attrs if k in ("class", "id") for w in (v or "").split()}
+        if self.skipped and tag == self.skipped[0]:
+            self.skipped.append(tag)
+        elif not self.skipped and (tag in self.FURNITURE or named & {"ad", "comments", "comment", "notice", "cookie"}):
+            self.skipped = [tag]
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        self.depth -= tag == "article"
+        if self.skipped and tag == self.skipped[0]:
+            self.skipped.pop()
+
+    def handle_data(self, data):
+        if self.depth and not self.skipped:
+            self.held.append(data)
+
+
+def given_pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+
+def test_every_block_of_the_given_pages_is_decided_by_the_tree(spark):
+    """The result is that of an independent extraction, and stays it where no article is declared."""
+    pages = given_pages(spark)
+    want = ["\n".join(Plain(p).lines) for p in pages]
+    assert sum(map(bool, want)) > 200
+    assert [html_text.main_text(p) for p in pages] == want
+    renamed = [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    assert [html_text.main_text(p) for p in renamed] == want
+
+
+def test_words_and_links_alone(spark):
+    """With nothing declared at all, the tree still finds the articles, and little besides."""
+    kept = right = total = 0
+    for page in given_pages(spark):
+        want = Counter(Plain(page).lines)
+        bare = re.sub(r"<(/?)(?:article|nav|header|footer|aside|form|main)\b", r"<\1div", re.sub(r'\s(?:class|id|role)="[^"]*"', "", page))
+        got = Counter(html_text.main_text(bare).split("\n"))
+        kept, right, total = kept + got.total(), right + (got & want).total(), total + want.total()
+    assert right >= 0.98 * total and right >= 0.85 * kept
+
+
 def test_tree_without_declared_articles():
     """Neighbours and link density decide where no article is declared."""
     rng = np.random.default_rng(3)
