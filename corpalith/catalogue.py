@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpalith.plans import answers, flows, jobs, measures, pieces, queries, reports, search, store, writes  # noqa: F401  (each registers its queries)
+from corpalith.plans import answers, flows, jobs, measures, packing, pieces, queries, reports, search, store, writes  # noqa: F401  (each registers its queries)
 
 QUERIES = queries.QUERIES
 ORACLE_SQL = queries.SQL
