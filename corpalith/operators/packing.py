@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpalith.operators.chunking import MOST, OVERLAP, PARENT, RUNT, TARGET
 
-#: Patterns that the folds and their SQL share. White space at both ends; elements that are no text; block elements; other tags.
-ENDS = r"^[\s\pZ]+|[\s\pZ]+$"
+#: White space but for the line's end, and patterns that the folds and their SQL share: elements that are no text; block elements; other tags.
+WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 UNSEEN = r"(?is)<(?:script|style|noscript|head)\b.*?</(?:script|style|noscript|head)\s*>|<!--.*?-->"
 BLOCKS = r"(?i)</?(?:h[1-6]|p|li|ul|ol|div|table|tr|pre|blockquote|article|section|nav|header|footer|aside|form|br)\b[^>]*>"
 TAGS = r"<[^>]*>"
@@ -38,11 +38,11 @@ def marked(page: Column) -> Column:
 def blocks(text: Column) -> Column:
     """array<(level, text, size)> of a text's lines: level is over 0 for headings, the text is as it is written into chunks,
     the size is in estimated tokens, four characters each."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, ENDS, "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
 
     def block(line: Column) -> Column:
-        marks = F.length(F.regexp_extract(line, MARKS, 0))
-        title = F.regexp_replace(F.substring(line, marks + 1, F.length(line)), ENDS, "")
+        marks = F.when(line.startswith("#"), F.length(F.regexp_extract(line, MARKS, 0))).otherwise(0)
+        title = F.when(line.startswith("#"), F.btrim(F.substring(line, marks + 1, F.length(line)), F.lit(WHITE))).otherwise("")
         heading = (marks > 0) & (marks <= 6) & (title != "")
         said = F.when(heading, F.concat(F.substring(line, F.lit(1), marks), F.lit(" "), title)).otherwise(line)
         return F.struct(F.when(heading, marks).otherwise(0).alias("level"), said.alias("text"), F.when(heading, title).otherwise(line).alias("title"))

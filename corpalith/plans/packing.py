@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.operators import packing as P
-from corpalith.operators.chunking import MOST, OVERLAP, RUNT, TARGET
-from corpalith.plans.queries import query
+from corpalith.operators.chunking import MOST, OVERLAP, PARENT, RUNT, TARGET
+from corpalith.plans.queries import SQL, query
 from corpalith.sources.corpus import table
 
 
@@ -25,10 +25,11 @@ _MARKED = f"regexp_replace(html, '{P.UNSEEN}', ' ', 'g')"
 for _level in range(1, 7):
     _MARKED = f"regexp_replace({_MARKED}, '(?i)<h{_level}\\b[^>]*>', chr(10) || '{'#' * _level} ', 'g')"
 _MARKED = f"regexp_replace(regexp_replace({_MARKED}, '{P.BLOCKS}', chr(10), 'g'), '{P.TAGS}', ' ', 'g')"
-_TITLE = f"regexp_replace(substring(line, marks + 1), '{P.ENDS}', '', 'g')"
+_WHITE = " || ".join(f"chr({ord(c)})" for c in P.WHITE)
+_TITLE = f"trim(substring(line, marks + 1), {_WHITE})"
 
 _PACKED = f"""RECURSIVE texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -page_id - 1, {_MARKED} FROM pages),
-split AS (SELECT id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{P.ENDS}', '', 'g')), lambda x: x <> '') AS ls FROM texts),
+split AS (SELECT id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_WHITE})), lambda x: x <> '') AS ls FROM texts),
 lines AS (SELECT id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS place FROM split),
 counted AS (SELECT *, length(regexp_extract(line, '{P.MARKS}')) AS marks FROM lines),
 titled AS (SELECT *, CASE WHEN marks BETWEEN 1 AND 6 AND {_TITLE} <> '' THEN {_TITLE} END AS title FROM counted),
@@ -90,3 +91,11 @@ def w10_merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of which small ones have taken the next in; the first one's path and overlap stay."""
     rows = P.chunks(_texts(spark, sf_dir), "id", F.col("text"))
     return rows.select("id", "ordinal", F.length("text").cast("long").alias("n_chars"), F.col("heading_path").alias("path"), "overlap")
+
+
+#: Chunks of plain texts, which ``chunking`` makes in Arrow batches: several times faster than the folds here, with the same result.
+SQL["p7_chunks"] = f"""WITH {_PACKED},
+sections AS (SELECT id, section, substring(string_agg(text, chr(10) || chr(10) ORDER BY place), 1, {PARENT}) AS parent FROM walk WHERE place > 0 GROUP BY id, section),
+begun AS (SELECT f.id, f.ordinal, arg_min(c.section, f.nth) AS section FROM fold f JOIN carried c ON c.id = f.id AND c.nth = f.nth GROUP BY f.id, f.ordinal)
+SELECT id, CAST(ordinal AS INTEGER) AS ordinal, array_to_string(path, ' > ') AS heading_path, text, overlap, parent, CAST(greatest(1, length(text) // 4) AS INTEGER) AS n_tokens
+FROM merged JOIN begun USING (id, ordinal) JOIN sections USING (id, section) WHERE id >= 0"""
