@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpalith.operators import order
+
 #: The reasons that feedback may give.
 REASONS = ("wrong", "incomplete", "outdated", "not_relevant", "no_answer", "other")
 
@@ -47,15 +49,15 @@ def append_turns(threads: DataFrame, turns: DataFrame) -> DataFrame:
     """(thread_id, ordinal, text, title) of new ``turns(thread_id, place, text)`` after the stored ``threads(thread_id, ordinal, text)``.
 
     Ordinals go on from the thread's last one. A thread is named by its first text, 300 characters.
-    Ranks are within one thread's new turns.
+    A thread with very many new turns is numbered range by range.
     """
-    from pyspark.sql import Window
-
     last = threads.groupBy("thread_id").agg(F.max("ordinal").alias("last"), F.min_by("text", "ordinal").alias("first_text"))
     rows = turns.join(last.withColumnRenamed("thread_id", "known"), F.col("thread_id") == F.col("known"), "left")
-    line = Window.partitionBy("thread_id").orderBy("place")
-    first = F.coalesce("first_text", F.first("text").over(line))
-    return rows.select("thread_id", (F.coalesce("last", F.lit(-1)) + F.row_number().over(line)).alias("ordinal"), "text", F.substring(first, 1, 300).alias("title"))
+    named = turns.groupBy(F.col("thread_id").alias("begun")).agg(F.min_by("text", "place").alias("new_text"))
+    rows = order.numbered(rows.select("thread_id", "place", "text", "last", "first_text"), "thread_id", ["place"])
+    rows = rows.join(named, F.col("thread_id").eqNullSafe(F.col("begun")))
+    first = F.coalesce("first_text", "new_text")
+    return rows.select("thread_id", (F.coalesce("last", F.lit(-1)) + F.col("nth")).alias("ordinal"), "text", F.substring(first, 1, 300).alias("title"))
 
 
 def feedback(rows: DataFrame) -> DataFrame:

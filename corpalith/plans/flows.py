@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.functions import text as T
-from corpalith.operators import flows, scope
+from corpalith.operators import flows, order, scope
 from corpalith.plans import queries as Q
 from corpalith.plans.measures import _CASES, _cases
 from corpalith.plans.queries import query
@@ -201,6 +201,5 @@ def x26_research_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, md5(props) AS version, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS nth FROM events QUALIFY lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM props")
 def k14_setting_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of a setting: a version is kept only where it differs from the one before."""
-    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "props", F.lag("props").over(line).alias("last"), F.row_number().over(line).alias("nth"))
-    return rows.where(~F.col("props").eqNullSafe(F.col("last"))).select("event_id", F.md5("props").alias("version"), "nth")
+    rows = order.numbered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "props"), "user_id", ["ts", "event_id"], before="props")
+    return rows.where(~F.col("props").eqNullSafe(F.col("before"))).select("event_id", F.md5("props").alias("version"), F.col("nth").cast("int").alias("nth"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpalith.functions import text as T
-from corpalith.operators import glossary
+from corpalith.operators import glossary, order
 from corpalith.plans import queries as Q
 from corpalith.plans.flows import _MEMBERS, _refreshed
 from corpalith.plans.queries import query
@@ -61,11 +61,13 @@ _LAST = "coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY ordinal), '')"
 
 @query(f"WITH {_LINES}, o AS (SELECT doc_id, ordinal, line, CASE WHEN length({_LAST}) <= 160 THEN {_LAST} ELSE right({_LAST}, 160) END AS over FROM chunks) SELECT o.doc_id, ordinal, md5(array_to_string(list_filter([source || ' > ' || lang, over, line], lambda x: x <> ''), chr(10))) AS embedded FROM o JOIN documents d ON d.doc_id = o.doc_id WHERE source IS NOT NULL AND lang IS NOT NULL")
 def p8_embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is embedded of a chunk: its path, the end of the chunk before, and its text; the chunks of a document are one array."""
+    """What is embedded of a chunk: its path, the end of the chunk before, and its text."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", F.concat("source", F.lit(" > "), "lang").alias("path"), lines.alias("lines"))
-    rows = rows.select("doc_id", "path", "lines", F.posexplode("lines").alias("ordinal", "line"))
-    before = F.coalesce(F.get("lines", F.col("ordinal") - 1), F.lit(""))
+    # Pairs of a line and the one before it, made before they become rows: else every row would carry all lines.
+    pairs = F.transform(F.array(lines), lambda every: F.transform(every, lambda x, i: F.struct(F.coalesce(F.get(every, i - 1), F.lit("")).alias("before"), x.alias("line"))))
+    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", F.concat("source", F.lit(" > "), "lang").alias("path"), F.element_at(pairs, 1).alias("pairs"))
+    rows = rows.select("doc_id", "path", F.posexplode("pairs").alias("ordinal", "pair")).select("doc_id", "path", "ordinal", "pair.before", "pair.line")
+    before = F.col("before")
     over = F.when(F.length(before) <= 160, before).otherwise(F.right(before, F.lit(160)))
     parts = F.filter(F.array(F.col("path"), over, F.col("line")), lambda x: x != "")
     return rows.select("doc_id", "ordinal", F.md5(F.array_join(parts, "\n")).alias("embedded"))
@@ -144,8 +146,8 @@ def c2_scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal FROM conversations WHERE turn % 3 <> 1")
 def w12_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns numbered anew without gaps after some were removed."""
-    line = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select("conv_id", "turn", (F.row_number().over(line) - 1).alias("ordinal"))
+    left = table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select("conv_id", "turn")
+    return order.numbered(left, "conv_id", ["turn"]).select("conv_id", "turn", (F.col("nth") - 1).cast("int").alias("ordinal"))
 
 
 @query(f"WITH {CATALOGUE_SQL}, p AS (SELECT title, min(doc_id) AS a, max(doc_id) AS b, count(*) AS n FROM catalogue WHERE trim(title) <> '' GROUP BY title HAVING count(*) > 1) SELECT a, b, 'Documents ' || a || ' and ' || b || ' share a title' || CASE WHEN n > 2 THEN ' with ' || (n - 2) || ' more.' ELSE '.' END AS prose FROM p")
