@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.functions import text as T
+from corpalith.operators import expansion, ranking
 from corpalith.operators import postings as P
 from corpalith.operators import vectors as V
 from corpalith.plans import queries as Q
 from corpalith.plans.queries import SQL, query
 from corpalith.sources.corpus import CATALOGUE_SQL, table
+from corpalith.sources.kept import written
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[V.Index | None, DataFrame]:
@@ -36,6 +38,25 @@ def v3_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.exact(index, queries, 20) if index else _none(spark)
 
 
+#: Hops from the seeds, and the score under which a path ends.
+HOPS, FLOOR = 3, 0.02
+
+
+@query(f"""WITH RECURSIVE {SQL["t1_knn"].removeprefix("WITH ").partition(" SELECT query_id, vec_id, score, CAST(rank")[0]},
+links AS (SELECT query_id AS u, vec_id AS v, score AS weight FROM r WHERE rank <= 5 UNION SELECT vec_id, query_id, score FROM r WHERE rank <= 5),
+levels AS (
+  SELECT vec_id AS node, 1.0::DOUBLE AS score, 0 AS hops FROM embeddings WHERE label = 0 AND vec_id % 20 = 0
+  UNION ALL SELECT v, max(round(score * weight, 6)), any_value(hops) + 1 FROM levels JOIN links ON u = node WHERE hops < {HOPS} AND round(score * weight, 6) >= {FLOOR} GROUP BY v)
+SELECT node, max(score) AS score, CAST(arg_max(hops, (score, -hops)) AS INTEGER) AS hops FROM levels GROUP BY node""")
+def y10_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What vectors of label 0 reach over the nearest five neighbours of the asked vectors, either way."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = ranking.knn(vectors, vectors.where("vec_id % 20 = 0"), 5)
+    both = near.select(F.col("query_id").alias("u"), F.col("vec_id").alias("v"), F.col("score").alias("weight")).union(near.select("vec_id", "query_id", "score")).distinct()
+    seeds = vectors.where("label = 0 and vec_id % 20 = 0").select(F.col("vec_id").alias("node"), F.lit(1.0).alias("score"))
+    return expansion.expanded(written(both), seeds, HOPS, FLOOR)
+
+
 # Full-text ranks
 
 
