@@ -2,15 +2,16 @@
 
 Two texts are near if their sets of shingles have a Jaccard similarity of ``threshold`` or more.
 At 0.8 their SimHash fingerprints differ by 10 to 12 of 64 bits and by ``WIDE`` with a probability
-of 1e-6 or less, far more than bands can be cut for. So the tiles of the exact comparison are cut
-by other keys: each distinct set gives ``BANDS`` keys of ``ROWS`` minima each, and texts that share
-a key come into one component. A pair at similarity 0.8 shares none with probability
-(1 - 0.8 ** 5) ** 30 = 7e-6. Inside a component fingerprints are compared tile by tile
+of 1e-6 or less, far more than bands can be cut for. So texts meet in two ways. Fingerprints within
+``RADIUS`` bits come into one component by the operator's own tiles (``simhash.links``), which miss
+none; for the rest each distinct set gives ``BANDS`` keys of ``ROWS`` minima each, and texts that
+share a key come into one component as well. A pair at similarity 0.8 beyond the radius shares none
+with probability (1 - 0.8 ** 5) ** 30 = 7e-6. Inside a component fingerprints are compared tile by tile
 (``simhash.tile_pairs``), and pairs within ``WIDE`` bits that are not yet linked are verified on
 the shingles themselves, so every link is exact. A component of more than ``TILE`` texts or
 ``HELD`` shingles is dealt to tiles, so a task's memory does not grow with a component. There each
-text is first compared with the component's least one, which goes to every tile. Most texts of a
-large component are copies of it and are settled by that; the rest, tile by tile, meets all texts
+text is first compared with the component's least one, which goes to every tile, by fingerprint and
+then by shingles. Most texts of a large component are copies of it and are settled by that; the rest, tile by tile, meets all texts
 of the component, so no link is lost, and the work is that of the rest times the component.
 """
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from corpalith.llm.common import dropped, durable, hot_join, like, slices, small, stored
 from corpalith.llm.components import components
-from corpalith.llm.simhash import tile_pairs
+from corpalith.llm.simhash import RADIUS, tile_pairs
+from corpalith.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -113,7 +115,7 @@ def near_sets(sets: list[np.ndarray], threshold: float = THRESHOLD, wide: int =
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, hash of the set, its size and its band keys; a text without words has no band."""
+    """key, hash of the set, its size, its fingerprint and its band keys; a text without words has no band."""
     for batch in batches:
         for at, held in slices(batch, "text", RUN):
             sets = shingle_sets(held)
@@ -122,8 +124,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [next(bands) if len(s) else np.empty(0, np.int64) for s in sets]
             whole = [_hash(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(held)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
-                names=["key", "whole", "n", "bands"],
+                [batch.column(0).slice(at, len(held)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints_of(sets).view(np.int64)), pa.array(rows, pa.list_(pa.int64()))],
+                names=["key", "whole", "n", "fp", "bands"],
             )
 
 
@@ -152,10 +154,11 @@ def _cells(batches: Iterator[pa.RecordBatch], *cell: str) -> Iterator[tuple[list
 
 
 def _led(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Whether each text of a tile is near the tile's first row, the component's leader."""
+    """Whether each text of a tile is near the tile's first row, the component's leader: within ``WIDE`` bits, and then by its shingles."""
     for _, ((_, leader, _), *rows) in _cells(batches, "root", "own"):
         if rows:
-            near = [_near(leader, held, threshold) for _, held, _ in rows]
+            first, *prints = fingerprints_of([leader, *(held for _, held, _ in rows)])
+            near = [bool(np.bitwise_count(first ^ fp) <= WIDE) and _near(leader, held, threshold) for fp, (_, held, _) in zip(prints, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(near)], names=["key", "near"])
 
 
@@ -208,13 +211,18 @@ def near_copies(texts: DataFrame, key_col: str = "key", text_col: str = "text",
     Repeated keys are one text. Null texts and those without words are near each other.
     """
     picked = like(texts, key_col, text_col).toDF("key", "text")
-    made = durable(picked.mapInArrow(_signatures, "key long, whole long, n long, bands array<long>").dropDuplicates(["key"]))
+    made = durable(picked.mapInArrow(_signatures, "key long, whole long, n long, fp long, bands array<long>").dropDuplicates(["key"]))
     reps = made.groupBy("whole").agg(F.min("key").alias("rep"))
     owners = durable(hot_join(made.select("key", "whole", "n"), reps.withColumnRenamed("whole", "w"), [("whole", "w")]).select("key", "rep", "n"))
     firsts = owners.where("key = rep").select(F.col("key").alias("k"))
-    keyed = made.join(firsts, F.col("key") == F.col("k"), "left_semi").select(F.col("key").alias("rep"), F.explode("bands").alias("band"))
+    single = made.join(firsts, F.col("key") == F.col("k"), "left_semi")
+    prints = single.where("n > 0").select(F.col("key").alias("rep"), "fp")
+    held = durable(prints.groupBy("fp").agg(F.min("rep").alias("rep")))
+    alike = fingerprint_links(held, held.count(), RADIUS)
+    same = hot_join(prints, held.toDF("f", "v"), [("fp", "f")]).where("rep <> v").select(F.col("rep").alias("u"), "v")
+    keyed = single.select(F.col("key").alias("rep"), F.explode("bands").alias("band"))
     leads = keyed.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select(F.col("band").alias("b"), "lead")
-    edges = hot_join(keyed, leads, [("band", "b")]).where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+    edges = hot_join(keyed, leads, [("band", "b")]).where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).union(alike).union(same).distinct()
     nodes = durable(hot_join(components(edges), owners.where("key = rep").select("key", "n"), [("node", "key")]).select("node", "root", "n"))
 
     tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / HELD)).cast("int")

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
+
 import corpus_pipeline
 from corpalith.llm import near_copies
 
@@ -91,3 +93,19 @@ def test_recall_on_the_given_table(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
     root = {r.key: r.root for r in near_copies.near_copies(docs).collect()}
     assert near and all(root[i] == root[j] for i, j in near)
+
+
+def test_fingerprints_alone_bring_near_texts_together(spark, monkeypatch):
+    """Near texts meet by the tiles of their fingerprints where no key of minima is shared; a link is still verified."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(edited(rng, words, 1))), (2, " ".join(words[:2000]))], "key long, text string")
+    made = near_copies._signatures
+
+    def without_bands(batches):
+        for batch in made(batches):
+            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], empty], names=batch.schema.names)
+
+    monkeypatch.setattr(near_copies, "_signatures", without_bands)
+    assert sorted((r.key, r.root) for r in near_copies.near_copies(docs).collect()) == [(0, 0), (1, 0), (2, 2)]
