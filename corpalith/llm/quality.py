@@ -176,15 +176,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATS, tree
     paths = sorted(found.values(), key=lambda path: (len(path), path))
     if not paths:
         return Model(0.0, ())
-    truth = np.column_stack([np.logical_and.reduce([(x[:, f] > c) == above for f, above, c in path]) for path in paths]).astype(float)
-    spread = np.maximum(truth.std(0), 0.05)
-    z, mean = truth / spread, truth.mean(0) / spread
-    z -= mean
-    step = 4 / (np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 / len(y) + weight.mean())
-    w, b, v, vb, t = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0, 1.0
+    # One matrix of rows by rules is held; its standardised columns are never made as a whole, nor copied.
+    truth = np.empty((len(x), len(paths)))
+    for i, path in enumerate(paths):
+        truth[:, i] = np.logical_and.reduce([(x[:, f] > c) == above for f, above, c in path])
+    share = truth.mean(0)
+    spread = np.maximum(np.sqrt(share * (1 - share)), 0.05)
+    mean = share / spread
+    gram = np.zeros((len(paths), len(paths)))
+    for at in range(0, len(x), 1024):
+        z = (truth[at : at + 1024] / spread - mean) * np.sqrt(weight[at : at + 1024])[:, None]
+        gram += z.T @ z
+    step = 4 / (np.linalg.eigvalsh(gram)[-1] / len(y) + weight.mean())
+    w, b, v, vb, t = np.zeros(len(paths)), 0.0, np.zeros(len(paths)), 0.0, 1.0
     for _ in range(600):  # accelerated proximal gradient
-        err = weight * (1 / (1 + np.exp(-(z @ v + vb))) - y) / len(y)
-        new = v - step * (z.T @ err)
+        err = weight * (1 / (1 + np.exp(-(truth @ (v / spread) - mean @ v + vb))) - y) / len(y)
+        new = v - step * (truth.T @ err / spread - mean * err.sum())
         new = np.sign(new) * np.maximum(np.abs(new) - step * lasso, 0)
         nb, nt = vb - step * err.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
