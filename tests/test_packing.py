@@ -55,3 +55,12 @@ def test_a_very_long_text_takes_time_in_proportion(spark):
     seconds(100)
     small, large = seconds(2000), seconds(20_000)
     assert large < 40 * max(small, 0.5)
+
+
+def test_chunk_rows_leave_in_bounded_frames(monkeypatch):
+    monkeypatch.setattr(chunking, "HELD", 100)
+    rows = [(i, "x" * 30, None) for i in range(50)]
+    frames = list(chunking._frames(iter(rows), ["id", "text", "none"]))
+    assert len(frames) > 10 and max(map(len, frames)) <= 4
+    assert [tuple(r)[:2] for f in frames for r in f.itertuples(index=False)] == [r[:2] for r in rows]
+    assert list(chunking._frames(iter(()), ["id"])) == []
