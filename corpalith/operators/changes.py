@@ -19,7 +19,10 @@ def verdicts(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "t
     """(key, verdict, similarity): new, gone, identical, reordered, cosmetic or changed."""
     a = old.select(F.col(key).alias("k1"), F.col(text).alias("t1"))
     b = new.select(F.col(key).alias("k2"), F.col(text).alias("t2"))
-    both = ranking.similarity(a.join(b, F.col("k1") == F.col("k2"), "full"), "t1", "t2")
+    # Equal texts, and those of one side only, are not cut into shingles.
+    told = F.col("k1").isNotNull() & F.col("k2").isNotNull() & ~F.col("t1").eqNullSafe(F.col("t2"))
+    met = a.join(b, F.col("k1") == F.col("k2"), "full")
+    both = ranking.similarity(met.withColumns({"s1": F.when(told, F.col("t1")), "s2": F.when(told, F.col("t2"))}), "s1", "s2")
     words = lambda c: F.array_join(T.tokens(F.col(c)), " ")
     verdict = (
         F.when(F.col("k1").isNull(), "new").when(F.col("k2").isNull(), "gone").when(F.col("t1").eqNullSafe(F.col("t2")), "identical")
