@@ -44,6 +44,21 @@ def _alone(df: DataFrame) -> Iterator[DataFrame]:
         spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
 
 
+#: Bytes of a batch that goes to a task's Python. Spark's own bound is 64 MB and 10,000 rows, and the JVM, outside its heap, and Python each hold a batch more than once.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Batches of ``size`` bytes, or one row, for the queries that run inside: all rows come, in more batches."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     _shared_folder(df.sparkSession)

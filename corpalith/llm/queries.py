@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpalith.llm import chat, decontaminate, flac, funnel, html_text, langid, line_dedup, merkle, mixing, quality, simhash, suffix_lm, url_filter
-from corpalith.llm.common import ascii_lower, dropped, fold, held_out, stored
+from corpalith.llm.common import ascii_lower, dropped, fold, held_out, small_batches, stored
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -81,9 +81,10 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those outside fold 2 of 7; the tokenised table goes once its scores are kept."""
-    tokens = suffix_lm.tokenise(_table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
-    lm = suffix_lm.fit(tokens)
-    scored = stored(suffix_lm.score(tokens, lm))
+    with small_batches(spark):
+        tokens = suffix_lm.tokenise(_table(spark, sf_dir, "documents"), learn=fold("doc_id", 7) != 2)
+        lm = suffix_lm.fit(tokens)
+        scored = stored(suffix_lm.score(tokens, lm))
     dropped(tokens, lm.values)
     return scored.select("doc_id", held_out("doc_id", 7), "n_tokens", "n_known", F.lit(lm.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -42,6 +42,8 @@ LEAST, GAIN, SMOOTHING = 8, 8.0, 20.0
 #: Least count of a run of words in the broadcast table; its rows, and 64-bit words of a bit table (16 MB), at most.
 LOUD, HOT, BITS = 16, 1_000_000, 1 << 21
 RUN, HELD = 3 << 19, 1 << 20
+#: Rows of a batch that leaves a task's Python.
+ROWS = 1 << 17
 
 #: The end token's hash stands apart from words: no word is empty.
 _hash = partial(xxhash.xxh64_intdigest, seed=0)
@@ -138,6 +140,12 @@ def _grouped(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     return order[first], n
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of ``ROWS`` rows: the JVM holds a batch whole, outside its heap."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def _bit(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, mask) of keys in a table of ``n`` words, a power of two: four bits of one word."""
     h = keys * _A
@@ -158,8 +166,8 @@ def bit_table(keys: DataFrame, most: int = BITS) -> np.ndarray:
             word, mask = _bit(batch.column(0).to_numpy().view(np.uint64), n)
             np.bitwise_or.at(held, word.astype(np.int64), mask)
         there = np.flatnonzero(held)
-        for cut in range(0, len(there), 1 << 17):
-            at = there[cut : cut + (1 << 17)]
+        for cut in range(0, len(there), ROWS):
+            at = there[cut : cut + ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], names=["word", "bits"])
 
     got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -227,7 +235,7 @@ def _count_levels(train: DataFrame, tables: list[np.ndarray], last: int, least:
             key = mix(before, after)
             at, n = _grouped(key, n)
             at, n = at[n >= least], n[n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part >> bits, np.int32)), *(pa.array(x[at].view(np.int64)) for x in (key, before, after)), pa.array(n)], names=["level", "gram", "ctx", "suf", "n"])
+            yield from _cut(pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part >> bits, np.int32)), *(pa.array(x[at].view(np.int64)) for x in (key, before, after)), pa.array(n)], names=["level", "gram", "ctx", "suf", "n"]))
 
         for batch in batches:
             for now, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -270,7 +278,7 @@ def _words(train: DataFrame) -> DataFrame:
                 keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 at, n = _grouped(keys, n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n)], names=["gram", "n"])
+                yield from _cut(pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n)], names=["gram", "n"]))
 
         for batch in batches:
             for part in _runs(batch):
