@@ -10,6 +10,7 @@ from corpalith.operators import access, mapping, ranking, scope, store
 from corpalith.plans import queries as Q
 from corpalith.plans.queries import query
 from corpalith.sources.corpus import CATALOGUE_SQL, table
+from corpalith.sources.kept import kept, small
 
 _ASKED = "asked AS (SELECT vec_id AS asked_id FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT -vec_id - 1 FROM embeddings WHERE vec_id % 50 = 0), held AS (SELECT * FROM catalogue WHERE in_store)"
 _OUTCOME = "CASE WHEN doc_id IS NULL THEN 'not_found' WHEN acl <> 'all-staff' THEN 'forbidden' ELSE 'resolved' END"
@@ -229,12 +230,18 @@ def m7_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(shown, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical channel's hits, at most twenty of a question: few, so that what the documents are asked for is found where they are read."""
+    hits = kept(Q._lexical(spark, sf_dir))
+    return small(hits, hits.count())
+
+
 @query(f"WITH {Q._LEXICAL} SELECT question_id, rank AS number, doc_id, strftime(DATE '2026-08-22' - CAST(age_days AS INTEGER), '%d %b %Y') AS dated FROM lexical JOIN catalogue USING (doc_id)")
 def m10_numbered_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages numbered in rank order with their dates, as a prompt shows them."""
     ages = Q._catalogue(spark, sf_dir).select(F.col("doc_id").alias("d"), "age_days")
     day = F.date_sub(F.expr("date '2026-08-22'"), F.col("age_days").cast("int"))
-    return Q._lexical(spark, sf_dir).join(ages, F.col("doc_id") == F.col("d")).select("question_id", F.col("rank").alias("number"), "doc_id", F.date_format(day, "dd MMM yyyy").alias("dated"))
+    return _hits(spark, sf_dir).join(ages, F.col("doc_id") == F.col("d")).select("question_id", F.col("rank").alias("number"), "doc_id", F.date_format(day, "dd MMM yyyy").alias("dated"))
 
 
 @query("SELECT kb, key, coalesce(own, general) AS value, CASE WHEN own IS NULL THEN 'default' ELSE 'override' END AS origin FROM (SELECT DISTINCT lang AS kb FROM documents) k, (VALUES ('k', '20'), ('floor', '0.08'), ('budget', '12')) d(key, general) LEFT JOIN (VALUES ('en', 'k', '40'), ('de', 'budget', '6')) o(okb, okey, own) ON okb = kb AND okey = key")
@@ -266,7 +273,7 @@ def j1_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j3_index_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search doesn't join the store, so its stale ids can be counted."""
     known = Q._catalogue(spark, sf_dir).select(F.col("doc_id").alias("d"), "in_store")
-    return Q._lexical(spark, sf_dir).join(known, F.col("doc_id") == F.col("d")).groupBy("question_id").agg(F.count("*").alias("hits"), F.count(F.when(~F.col("in_store"), 1)).alias("stale"))
+    return _hits(spark, sf_dir).join(known, F.col("doc_id") == F.col("d")).groupBy("question_id").agg(F.count("*").alias("hits"), F.count(F.when(~F.col("in_store"), 1)).alias("stale"))
 
 
 @query(f"WITH {CATALOGUE_SQL} SELECT doc_id, title FROM catalogue WHERE doc_id = ANY(SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0)")
