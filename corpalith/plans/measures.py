@@ -353,14 +353,14 @@ def x31_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", F.round(rate, 6).alias("rate"), F.round((F.col("total") - F.col("done")) / rate, 2).alias("eta"))
 
 
-_VECTOR_SCORES = f"SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ({_NORMED.format('v')} * {_NORMED.format('q')}), 6) AS score FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
+_VECTOR_SCORES = f"SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ({_NORMED.format('v')} * {_NORMED.format('q')}), 6) AS score FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id"
 
 
 @query(f"WITH s AS ({_VECTOR_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, score > 0.72 AS duplicate FROM r WHERE rank <= 3")
 def t10_duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest of each upload, and whether they are near enough to be shown as duplicates."""
     vectors = table(spark, sf_dir, "embeddings")
-    return ranking.knn(vectors, vectors.where("vec_id % 20 = 0"), 3).select("query_id", "vec_id", "score", (F.col("score") > 0.72).alias("duplicate"))
+    return ranking.knn(vectors, vectors, 3).select("query_id", "vec_id", "score", (F.col("score") > 0.72).alias("duplicate"))
 
 
 @query(f"WITH x AS ({Q._X13 % Q._URL}) SELECT coalesce(rung, 'none') AS rung, outcome, count(*) AS keys FROM x GROUP BY ALL")

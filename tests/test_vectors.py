@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpalith.operators import vectors as V
@@ -99,3 +100,41 @@ def test_knn_meets_block_by_block(spark, monkeypatch):
     odd = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0], 0), (2, None, 0), (3, [None, 1.0], 0), (4, [2.0, 0.0], 0), (4, [-2.0, 0.0], 0)], ROW)
     assert rows_of(ranking.knn(odd, odd.where("vec_id = 0"), 9)) == [(0, 1, 0.0, 2), (0, 2, 0.0, 3), (0, 3, 0.0, 4), (0, 4, -1.0, 5), (0, 4, 1.0, 1)]
     assert rows_of(ranking.knn(odd, odd.where("vec_id = 9"), 9)) == []
+
+
+def test_every_vector_is_asked_for_its_duplicates(spark, tmp_path):
+    """Also those whose ids 20 doesn't divide; the SQL asks for the same."""
+    import duckdb
+
+    from corpalith import catalogue
+
+    rows = clustered(130)
+    rows += [(i, rows[7][1], 0) for i in range(130, 139)]
+    spark.createDataFrame(rows, ROW).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r.vec_id, r.score, r.duplicate) for r in catalogue.QUERIES["t10_duplicate_candidates"](spark, str(tmp_path)).collect())
+    assert got == sorted((q, i, s, s > 0.72) for q, i, s, _ in by_hand(rows, rows, 3))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["t10_duplicate_candidates"]).fetchall())
+
+
+@pytest.mark.parametrize("rows_at_once, columns, hits", [(256, 1024, 4096), (7, 16, 1)])
+def test_near_vectors_are_scored_exactly(spark, monkeypatch, rows_at_once, columns, hits):
+    """Scores that differ by less than single precision can tell, many copies, ids that occur twice, and vectors with no number."""
+    from corpalith.operators import ranking
+
+    for name, value in (("ROWS", rows_at_once), ("COLUMNS", columns), ("HITS", hits), ("PAIR_BYTES", 1000)):
+        monkeypatch.setattr(ranking, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    rows = [(i, (base + 0.002 * rng.normal(size=16)).astype(np.float32).tolist(), 0) for i in range(300)]
+    rows += [(i, rows[3][1], 0) for i in range(300, 400)] + [(400, [0.0] * 16, 0)] + [(i, [-x for x in rows[9][1]], 0) for i in range(401, 420)]
+    df = spark.createDataFrame(rows, ROW)
+    assert rows_of(ranking.knn(df, df, 4)) == by_hand(rows, rows, 4)
+    odd = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [float("nan"), 0.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [float("inf"), 1.0], 0)], ROW)
+    got = [(r.query_id, r.vec_id, str(r.score), r["rank"]) for r in ranking.knn(odd, odd.where("vec_id in (0, 2)"), 3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, "nan", 1), (0, 4, "nan", 2), (0, 1, "1.0", 3), (2, 1, "nan", 1), (2, 4, "nan", 2), (2, 0, "1.0", 3)]
+    # Equal vectors of many ids: k + 1 of them are met, and k rows of each id.
+    ids = np.array([0, 0, 0, 1, 2, 3, 4])
+    same = pa.chunked_array([[[1.0, 2.0]] * 7])
+    assert ranking._least_copies(same, ids, 2).tolist() == [0, 1, 3, 4]
